@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, quality_rules, sharding, token_counts, url_filter
+from . import classifier, lm_scoring, quality_rules, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(sharding.sized(_table(spark, sf_dir, "documents")), 40)
 
 
+def op4_subword_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: Rules of op5: verdict, host, path.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_distribution_divergence,
         op3_byte_prefix_shards,
+        op4_subword_quality_classifier,
         op5_weighted_url_vocabulary,
         op9_rank_synchronous_token_counts,
         op10_deleted_interpolation,
