@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import classifier, lm_scoring, quality_rules, sharding, token_counts, url_filter
+from . import classifier, lm_scoring, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,20 @@ def op5_weighted_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_unigram_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece_codec.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = sentencepiece_codec.encode_decode(_table(spark, sf_dir, "documents"), pieces)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "byte_tokens",
+        F.xxhash64("ids").alias("ids_hash"),
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"),
+        F.md5("decoded").alias("decoded_md5"),
+        "round_trip",
+    )
+
+
 def op9_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -49,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_byte_prefix_shards,
         op4_subword_quality_classifier,
         op5_weighted_url_vocabulary,
+        op6_unigram_encode_decode,
         op9_rank_synchronous_token_counts,
         op10_deleted_interpolation,
     )
