@@ -38,10 +38,15 @@ BUCKETS = 40
 
 @dataclass(frozen=True)
 class Plan:
-    """Blocks of about ``block_bytes`` of text; ``deleted_in`` sets the part whose counts are deleted while weights are learned."""
+    """Blocks of about ``block_bytes`` of text, a hash range for each ``blocks_per_range`` of them.
+
+    Blocks and ranges both keep their size as the input grows; what a block
+    sends a range gets smaller, down to single entries.  One training document
+    in ``deleted_in`` has its counts deleted while weights are learned.
+    """
 
     block_bytes: int = 9 << 20
-    ranges: int = 48
+    blocks_per_range: int = 2
     deleted_in: int = 40
     em_rounds: int = 60
 
@@ -110,8 +115,8 @@ class Block:
 # -- counting ----------------------------------------------------------------
 
 
-def _packed(docs: DataFrame, learn_mod: int, learn_skip: int, plan: Plan, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """Documents as compressed payloads of (block, payload), and how many blocks, from 0 on, hold the deleted part."""
+def _packed(docs: DataFrame, learn_mod: int, learn_skip: int, plan: Plan, doc_id: str, text: str) -> tuple[DataFrame, int, int]:
+    """Documents as compressed payloads of (block, payload); how many blocks, from 0 on, hold the deleted part; hash ranges."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -150,11 +155,11 @@ def _packed(docs: DataFrame, learn_mod: int, learn_skip: int, plan: Plan, doc_id
         if held:
             yield flush()
 
-    return rows.select("doc_id", "text", "part", "block").mapInArrow(run, "block int, payload binary"), few
+    return rows.select("doc_id", "text", "part", "block").mapInArrow(run, "block int, payload binary"), few, max(8, blocks // plan.blocks_per_range)
 
 
-def _sent(plan: Plan):
-    bounds = _range_bounds(plan.ranges)
+def _sent(ranges: int):
+    bounds = _range_bounds(ranges)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -165,23 +170,22 @@ def _sent(plan: Plan):
             counted = np.bincount(inverse[owner == COUNTED], minlength=len(u))
             deleted = np.bincount(inverse[owner == DELETED], minlength=len(u))
             at = np.r_[np.searchsorted(u, np.array(bounds, _U)), len(u)]
-            for r in range(plan.ranges):
+            for r in np.flatnonzero(np.diff(at)).tolist():
                 i, j = at[r], at[r + 1]
-                if j > i:
-                    rows["kind"].append(kind)
-                    rows["range"].append(r)
-                    rows["block"].append(key[0].as_py())
-                    rows["hashes"].append(pack_sorted(u[i:j], bounds[r]))
-                    rows["counted"].append(pack_counts(counted[i:j]))
-                    rows["deleted"].append(pack_counts(deleted[i:j]))
+                rows["kind"].append(kind)
+                rows["range"].append(r)
+                rows["block"].append(key[0].as_py())
+                rows["hashes"].append(pack_sorted(u[i:j], bounds[r]))
+                rows["counted"].append(pack_counts(counted[i:j]))
+                rows["deleted"].append(pack_counts(deleted[i:j]))
         i32 = pa.int32()
         return pa.table([pa.array(rows["kind"], i32), pa.array(rows["range"], i32), pa.array(rows["block"], i32), *[pa.array(rows[k], pa.binary()) for k in ("hashes", "counted", "deleted")]], list(rows))
 
     return run
 
 
-def _answered(plan: Plan):
-    bounds = _range_bounds(plan.ranges)
+def _answered(ranges: int):
+    bounds = _range_bounds(ranges)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kind, r = key[0].as_py(), key[1].as_py()
@@ -325,9 +329,9 @@ def score_texts(docs: DataFrame, mod: int = 7, skip: int = 2, plan: Plan = Plan(
     checksum of an empty string.  Every input row gives one row.  Without
     training documents every probability is uniform.
     """
-    packed, few = _packed(docs, mod, skip, plan, doc_id, text)
-    sent = packed.groupBy("block").applyInArrow(_sent(plan), "kind int, range int, block int, hashes binary, counted binary, deleted binary")
-    answers = checkpoint(sent.groupBy("kind", "range").applyInArrow(_answered(plan), "block int, kind int, range int, total binary, counted binary"))
+    packed, few, ranges = _packed(docs, mod, skip, plan, doc_id, text)
+    sent = packed.groupBy("block").applyInArrow(_sent(ranges), "kind int, range int, block int, hashes binary, counted binary, deleted binary")
+    answers = checkpoint(sent.groupBy("kind", "range").applyInArrow(_answered(ranges), "block int, kind int, range int, total binary, counted binary"))
     stats = answers.where(F.col("kind") == STATS).select("total").collect()  # one row a range
     n, types, n_counted, types_counted = (int(x) for x in sum((unpack_counts(r["total"]) for r in stats), np.zeros(4, np.int64)))
     answers = answers.where(F.col("kind") != STATS)
