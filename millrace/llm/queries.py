@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, lm_scoring, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
+from . import classifier, decontam, lm_scoring, minhash, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_unigram_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Rule(percent=85, rows=5))
+
+
 def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_subword_quality_classifier,
         op5_weighted_url_vocabulary,
         op6_unigram_encode_decode,
+        op7_hyperminhash_near_dedup,
         op8_spaced_seed_decontamination,
         op9_rank_synchronous_token_counts,
         op10_deleted_interpolation,
