@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, lm_scoring, minhash, quality_rules, sentencepiece_codec, sharding, token_counts, url_filter
+from . import classifier, decontam, lm_scoring, minhash, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(_table(spark, sf_dir, "documents"), suffix_dedup.Repeats(length=400)).drop("removed")
+
+
 def op3_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(sharding.sized(_table(spark, sf_dir, "documents")), 40)
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_distribution_divergence,
+        op2_interval_tree_repeats,
         op3_byte_prefix_shards,
         op4_subword_quality_classifier,
         op5_weighted_url_vocabulary,
