@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
@@ -145,10 +145,15 @@ def least_estimate(rule: Rule, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return t - rule.deviations * np.sqrt(t * (1 - t) / np.clip(np.minimum(na, nb), 1, rule.registers))
 
 
+def _check(text: str) -> Column:
+    """A checksum that tells rows of one id and different texts apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def signatures(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, registers) of every document; null key and registers for an empty set."""
+    """(doc_id, check, n_shingles, set_key, registers) of every document; null key and registers for an empty set."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _check(text).alias("check"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -162,14 +167,15 @@ def signatures(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(2),
                     pa.array(n.astype(np.int64)),
                     pa.array([keys[i].tobytes() if some[i] else None for i in range(texts.n)], pa.binary()),
                     pa.array([registers[i].tobytes() if some[i] else None for i in range(texts.n)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "registers"],
+                ["doc_id", "check", "n_shingles", "set_key", "registers"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return rows.mapInArrow(run, "doc_id long, check long, n_shingles long, set_key binary, registers binary")
 
 
 # -- groups in blocks ---------------------------------------------------------
@@ -323,7 +329,7 @@ def _with_sets(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's number of shingles, its component, and whether it is the one that stays.
+    """Each document's number of shingles, its component, and whether it is the one that stays (doc_id, n_shingles, component_id, kept).
 
     Documents are linked if their sets have a Jaccard similarity of
     ``rule.percent`` or more; component_id is the least doc_id that links lead
@@ -332,6 +338,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id"
     repeated rows and ids are linked like others of equal text, and of rows with
     one id and one text the kept ones are all kept.  Null ids come after others.
     """
+    return _components(docs, rule, doc_id, text).drop("check")
+
+
+def _components(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     features = checkpoint(signatures(docs, rule, doc_id, text))
     classes = checkpoint(
@@ -359,4 +369,18 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id"
     named = named.select(F.col("set_key").alias("_key"), F.coalesce("_least", "first_id").alias("_component"))
     joined = features.join(named, features["set_key"] == named["_key"], "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return joined.select("doc_id", "check", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, rule: Rule = Rule(percent=80, rows=4), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the least id of each group, with all its columns.
+
+    Rows of one id and one text are one document, of which one row stays.  Near
+    duplicates that share an id, or have none, are not told apart and all stay.
+    Texts without words are no duplicates of others.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row"), F.col(doc_id).cast("long").alias("_id"), _check(text).alias("_check"))
+    gone = _components(docs, rule, doc_id, text).where("not kept").select("doc_id", "check").distinct()
+    stay = rows.join(gone, rows["_id"].eqNullSafe(gone["doc_id"]) & (rows["_check"] == gone["check"]), "left_anti")
+    return stay.dropDuplicates(["_id", "_check"]).select(*[F.col("row").getField(n).alias(n) for n in names])

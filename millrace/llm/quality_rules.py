@@ -200,6 +200,40 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", limits:
     return out
 
 
+class Judge:
+    """The rules with their references, for slices of texts."""
+
+    def __init__(self, known: dict[str, tuple[list[float], list[float]]], limits: Limits):
+        self.limits = limits
+        names = sorted(known)
+        self.at = {n: i for i, n in enumerate(names)}
+        self.classes = np.array([known[n][0] for n in names]).reshape(len(names), len(CLASSES))
+        self.words = np.array([known[n][1] for n in names]).reshape(len(names), len(VOCABULARY) + 1)
+
+    def _distance(self, counts: np.ndarray, least: int, refs: np.ndarray, own: np.ndarray) -> np.ndarray:
+        total = counts.sum(1)
+        out = np.full(len(counts), np.nan)
+        if len(refs):
+            judged = total >= least
+            p = counts[judged] / total[judged, None]
+            each = np.stack([js_distance(p, q) for q in refs], 1)
+            mine = own[judged]
+            out[judged] = np.where(mine >= 0, each[np.arange(len(p)), np.maximum(mine, 0)], each.min(1))
+        return out
+
+    def __call__(self, texts: Texts, langs: list[str | None]) -> dict[str, np.ndarray]:
+        limits, c = self.limits, base_counts(texts)
+        chars, common = histograms(texts)
+        own = np.array([self.at.get(x, -1) for x in langs], np.int64)
+        c["class_distance"] = self._distance(chars, limits.min_class_chars, self.classes, own)
+        c["word_distance"] = self._distance(common, limits.min_common_words, self.words, own)
+        c["base_failed"] = (c["n_words"] < limits.min_words) | (100 * c["n_repeat_words"] > limits.max_repeat_percent * c["n_words"])
+        allowed = limits.max_word_distance + limits.word_noise / np.sqrt(np.maximum(c["n_words"], 1))
+        with np.errstate(invalid="ignore"):
+            c["kept"] = ~c["base_failed"] & ~(c["class_distance"] > limits.max_class_distance) & ~(c["word_distance"] > allowed)
+        return c
+
+
 def judge(
     docs: DataFrame,
     known: dict[str, tuple[list[float], list[float]]],
@@ -216,45 +250,33 @@ def judge(
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    names = sorted(known)
-    classes = np.array([known[n][0] for n in names]).reshape(len(names), len(CLASSES))
-    words = np.array([known[n][1] for n in names]).reshape(len(names), len(VOCABULARY) + 1)
-
-    def distance(counts: np.ndarray, least: int, refs: np.ndarray, own: np.ndarray) -> np.ndarray:
-        total = counts.sum(1)
-        out = np.full(len(counts), np.nan)
-        if len(refs):
-            judged = total >= least
-            p = counts[judged] / total[judged, None]
-            each = np.stack([js_distance(p, q) for q in refs], 1)
-            mine = own[judged]
-            out[judged] = np.where(mine >= 0, each[np.arange(len(p)), np.maximum(mine, 0)], each.min(1))
-        return out
+    rule = Judge(known, limits)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    names = ["doc_id", *counts, "base_failed", "kept", "class_distance", "word_distance"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {n: i for i, n in enumerate(names)}
         for part in slices(batches):
             texts = Texts(part.column(1))
             texts.words()
-            c = base_counts(texts)
-            chars, common = histograms(texts)
-            own = np.array([at.get(x, -1) for x in part.column(2).to_pylist()], np.int64)
-            far_class = distance(chars, limits.min_class_chars, classes, own)
-            far_words = distance(common, limits.min_common_words, words, own)
-            failed = (c["n_words"] < limits.min_words) | (100 * c["n_repeat_words"] > limits.max_repeat_percent * c["n_words"])
-            with np.errstate(invalid="ignore"):
-                allowed = limits.max_word_distance + limits.word_noise / np.sqrt(np.maximum(c["n_words"], 1))
-                kept = ~failed & ~(far_class > limits.max_class_distance) & ~(far_words > allowed)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), *[pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], pa.array(failed), pa.array(kept)]
-                + [pa.array(x, from_pandas=True) for x in (far_class, far_words)],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"],
-            )
-
-    return rows.mapInArrow(
-        run,
-        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double",
-    )
+            c = rule(texts, part.column(2).to_pylist())
+            columns = [pa.array(c[k].astype(np.int64)) for k in counts] + [pa.array(c["base_failed"]), pa.array(c["kept"])] + [pa.array(c[k], from_pandas=True) for k in names[-2:]]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in counts) + ", base_failed boolean, kept boolean, class_distance double, word_distance double")
+
+
+def kept_documents(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    rule = Judge(references(docs, text, lang, limits), limits)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            texts = Texts(part.column(text))
+            texts.words()
+            yield part.filter(pa.array(rule(texts, part.column(lang).cast(pa.string()).to_pylist())["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -317,33 +317,28 @@ class Codec:
         return texts
 
 
-def encode_decode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def encode_decode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text, and decode what was encoded.
 
-    Returns the columns of ``keep``, then doc_id, ids, byte_tokens (bytes given
-    by fallback), decoded and round_trip.  Null and empty texts have no ids and
+    Returns doc_id, ids, byte_tokens (bytes given by fallback), decoded and
+    round_trip.  Null and empty texts have no ids and
     decode to an empty string.  A text that holds the marker character itself
     decodes with a space in its place; round_trip is then false.  Every input
     row gives one row.
     """
     small_batches(docs.sparkSession)
     codec = docs.sparkSession.sparkContext.broadcast(Codec(pieces))  # of the vocabulary's size
-    rows = docs.select(F.col(doc_id).cast("long").alias("_doc_id"), F.col(text).cast("string").alias("_text"), *keep)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec.value
-        for part in slices(batches, "_text"):
+        for part in slices(batches):
             column = part.column(1)
             ids, offsets = c.encode(column)
             decoded = pa.array(c.decode(ids, offsets), pa.string())
             fallback = np.concatenate([[0], np.cumsum(c.is_byte[ids])])[offsets]
             same = pc.equal(decoded, pc.fill_null(column, ""))
             listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[2:], part.column(0), listed, pa.array(np.diff(fallback)), decoded, same],
-                [*part.schema.names[2:], "doc_id_", "ids", "byte_tokens", "decoded", "round_trip"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column(0), listed, pa.array(np.diff(fallback)), decoded, same], ["doc_id", "ids", "byte_tokens", "decoded", "round_trip"])
 
-    out = rows.mapInArrow(run, schema + "doc_id_ long, ids array<int>, byte_tokens long, decoded string, round_trip boolean")
-    return out.withColumnRenamed("doc_id_", "doc_id") if not keep else out.drop("doc_id_")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, byte_tokens long, decoded string, round_trip boolean")

@@ -9,6 +9,7 @@ worker's memory by the longest single document rather than by the batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +40,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a temporary one used.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset
+    (tests on one machine) is a temporary one used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared:
@@ -53,9 +54,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(shared)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words."""
     x = x ^ (x >> _U(30))
