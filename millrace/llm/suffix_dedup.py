@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .textbatch import Texts, checkpoint, mix, shuffle_width, slices, small_batches
 
 _U = np.uint64
+#: Bytes of text whose anchors are sought at once; some ten words of memory go with each.
+ANCHOR_SLICE = 1 << 19
 _BASES = (_U(0x9E3779B97F4A7C55), _U(0xC2B2AE3D27D4EB4F))
 
 
@@ -62,7 +64,7 @@ def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2**64."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 3 << 20)
+        size = max(n, ANCHOR_SLICE + (1 << 17))
         base = int(_BASES[which])
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -240,7 +242,7 @@ def anchors(docs: DataFrame, rule: Repeats) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=ANCHOR_SLICE):
             a = find_anchors(Texts(part.column("text")), rule)
             at = pa.array(a["doc"])
             yield pa.RecordBatch.from_arrays(
