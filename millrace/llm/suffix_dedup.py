@@ -320,12 +320,13 @@ def _contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, rule: Repeats) -> DataFrame:
     """Repeated byte ranges (doc_id, check, begin, end) of (doc_id, check, text) rows."""
     found = anchors(docs, rule)
-    often = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # counted apart from the join, so that the join's own shuffle can be split where an anchor is frequent
+    often = checkpoint(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     repeated = checkpoint(found.join(often, "hash"))
     # one row for each different context; the least place stands for it
-    kinds = repeated.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "place")).alias("at"))
-    several = kinds.groupBy("hash").agg(F.count("*").alias("contexts"))
-    kinds = checkpoint(kinds.join(several, "hash").select(*_KEY, "n", "contexts", "at.doc_id", "at.check", "at.place"))
+    kinds = checkpoint(repeated.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "place")).alias("at")))
+    several = checkpoint(kinds.groupBy("hash").agg(F.count("*").alias("contexts")).where("contexts > 1"))
+    kinds = checkpoint(kinds.join(several, "hash", "left").select(*_KEY, "n", F.coalesce("contexts", F.lit(1)).alias("contexts"), "at.doc_id", "at.check", "at.place"))
     whole = kinds.where("n > 1").select(*_KEY, (-F.col("left")).cast("long").alias("begin"), F.col("right").cast("long").alias("end"))
     partial = kinds.where("contexts > 1").drop("n")
     some = _contexts(partial.where(F.col("contexts") <= rule.most_contexts), docs)
