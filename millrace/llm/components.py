@@ -66,11 +66,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         state = signature
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # aggregated apart from the join, so that the join's own shuffle can be split where a node has many neighbours
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         # every edge now leads from a node to a lesser one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpoint(large)
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         now = checkpoint(small.select("e.u", "e.v").where("u != v").distinct())
     if state is None:
