@@ -1,4 +1,8 @@
 """Registered queries of the library and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .oracles import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
