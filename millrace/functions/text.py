@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ from ..config import (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often and in whatever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def replace_all(c: Column, *rules: tuple[str, str]) -> Column:
     """Rewrites one after another: (pattern, replacement)."""
     return reduce(lambda x, r: F.regexp_replace(x, F.lit(r[0]), F.lit(r[1])), rules, c)
@@ -161,9 +167,13 @@ def head_and_tail(c: Column, limit: int) -> Column:
 
 
 def shingles(c: Column, n: int) -> Column:
-    """Distinct character n-grams; a shorter text is one whole."""
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.array_distinct(each)
+    """Distinct character n-grams; a shorter text is one whole.
+
+    One pass of a pattern that looks ahead from each character; the class keeps
+    it from starting inside a surrogate pair.
+    """
+    each = F.regexp_extract_all(c, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{n - 1}}}))"), F.lit(1))
+    return F.when(F.length(c) < n, F.array(c)).otherwise(F.array_distinct(each))
 
 
 def short_hash(c: Column) -> Column:

@@ -11,6 +11,13 @@ from ..functions import text as T
 from . import ordered
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores where the scan has fewer partitions (a single file); large inputs stay as they are."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """Lines of documents with their place; a null text has none."""
     return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -88,8 +95,8 @@ def paragraphs(classified: DataFrame, by: str = "doc_id") -> DataFrame:
 
 def signatures(rows: DataFrame, key: str = "doc_id", text: str = "text", spec: NearDedup = NearDedup()) -> DataFrame:
     """MinHash signatures, by an aggregation over the shingles in generated code."""
-    shingle = T.shingles(T.head_and_tail(F.col(text), spec.max_chars), spec.ngram)
-    each = rows.where(F.length(text) >= spec.min_chars).select(key, F.explode(shingle).alias("s")).select(key, T.short_hash(F.col("s")).alias("h"))
+    bodies = spread(rows.where(F.length(text) >= spec.min_chars).select(key, T.head_and_tail(F.col(text), spec.max_chars).alias("s")), key)
+    each = bodies.select(key, F.explode(T.shingles(F.col("s"), spec.ngram)).alias("s")).select(key, T.short_hash(F.col("s")).alias("h"))
     least = [F.min((F.lit(a).cast("long") * F.col("h") + F.lit(b)) % spec.prime).alias(f"m{i}") for i, (a, b) in enumerate(spec.coefficients())]
     return each.groupBy(key).agg(*least).select(key, F.array(*[f"m{i}" for i in range(spec.hashes)]).alias("signature"))
 

@@ -77,4 +77,4 @@ def improvement(base: Column, ours: Column) -> Column:
 def compression_metrics(compressed: Column, size: Column, chars: Column) -> dict[str, Column]:
     """Ratio, bits for each character and byte; null for an empty text."""
     none = lambda c: F.nullif(c, F.lit(0))
-    return {"ratio": F.round(size / none(compressed), 4), "bpc": F.round(compressed * 8 / none(chars), 4), "bpb": F.round(compressed * 8 / none(size), 4)}
+    return {"ratio": F.round(none(size) / none(compressed), 4), "bpc": F.round(compressed * 8 / none(chars), 4), "bpb": F.round(compressed * 8 / none(size), 4)}

@@ -42,8 +42,8 @@ class BigramModel:
 
 def bigrams(docs: DataFrame, text: str = "text", group: str = "lang") -> DataFrame:
     """Counts of adjacent characters, in generated code: (lang, a, b, n)."""
-    places = docs.where(F.length(text) > 1).select(group, text, F.explode(F.sequence(F.lit(1), F.length(text) - 1)).alias("i"))
-    pair = places.select(group, F.substring(F.col(text), F.col("i"), F.lit(2)).alias("p"))
+    each = F.regexp_extract_all(F.col(text), F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}].))"), F.lit(1))
+    pair = docs.select(group, F.explode(each).alias("p"))
     return pair.groupBy(group, "p").agg(F.count("*").alias("n")).select(group, F.substring("p", 1, 1).alias("a"), F.substring("p", 2, 1).alias("b"), "n")
 
 

@@ -117,17 +117,24 @@ def novel_pieces(pieces: DataFrame, base: DataFrame, min_aksharas: int = 2, limi
 
 def token_blocks(ids: Column, size: int) -> Column:
     """Blocks of ``size`` ids; what is left over at the end is dropped."""
-    number = F.floor(F.size(ids) / size).cast("int")
     empty = F.array().cast("array<array<int>>")
-    return F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.slice(ids, i * size + 1, size))).otherwise(empty)
+
+    def cut(x: Column) -> Column:
+        number = F.floor(F.size(x) / size).cast("int")
+        return F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.slice(x, i * size + 1, size))).otherwise(empty)
+
+    return T.let(ids, cut)
 
 
 def score_windows(ids: Column, context: int) -> Column:
     """Windows of ``context`` ids, each beginning with the last id of the one before."""
-    n = F.size(ids)
-    starts = F.sequence(F.lit(0), n - 2, F.lit(context - 1))
     empty = F.array().cast("array<array<int>>")
-    return F.when(n >= 2, F.transform(starts, lambda s: F.slice(ids, s + 1, context))).otherwise(empty)
+
+    def cut(x: Column) -> Column:
+        n = F.size(x)
+        return F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2, F.lit(context - 1)), lambda s: F.slice(x, s + 1, context))).otherwise(empty)
+
+    return T.let(ids, cut)
 
 
 def code_points(text: Column) -> Column:

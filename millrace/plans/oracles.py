@@ -114,7 +114,7 @@ PLAIN = f"plain AS (SELECT page_id, html, array_to_string(list_filter(list_trans
 
 def _pair_tables(train: str, test: str) -> str:
     return f"""
-bg AS (SELECT split, lang, substr(text, i, 1) AS a, substr(text, i + 1, 1) AS b FROM (SELECT split, lang, text, unnest(range(1, length(text))) AS i FROM split)),
+bg AS (SELECT split, lang, unnest(cs[:-2]) AS a, unnest(cs[2:]) AS b FROM (SELECT split, lang, string_split(text, '') AS cs FROM split)),
 learned AS (SELECT lang, a, b, count(*) AS n FROM bg WHERE split = '{train}' GROUP BY ALL),
 contexts AS (SELECT lang, a, sum(n) AS c FROM learned GROUP BY ALL),
 seen AS (SELECT lang, a, b, count(*) AS times FROM bg WHERE split = '{test}' GROUP BY ALL),

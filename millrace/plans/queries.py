@@ -22,7 +22,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deva(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).withColumn("text", curate.devanagari(F.col("text")))
+    return curate.spread(_docs(spark, d).select("doc_id", "lang", "source", "text"), "doc_id").withColumn("text", curate.devanagari(F.col("text")))
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
