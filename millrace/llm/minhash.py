@@ -380,7 +380,9 @@ def without_near_duplicates(docs: DataFrame, rule: Rule = Rule(percent=80, rows=
     Texts without words are no duplicates of others.
     """
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col(doc_id).cast("long").alias("_id"), _check(text).alias("_check"))
-    gone = _components(docs, rule, doc_id, text).where("not kept").select("doc_id", "check").distinct()
-    stay = rows.join(gone, rows["_id"].eqNullSafe(gone["doc_id"]) & (rows["_check"] == gone["check"]), "left_anti")
-    return stay.dropDuplicates(["_id", "_check"]).select(*[F.col("row").getField(n).alias(n) for n in names])
+    key = lambda i, check: F.concat_ws("/", F.coalesce(i.cast("string"), F.lit("-")), check.cast("string"))
+    rows = docs.select(F.struct(*names).alias("row"), key(F.col(doc_id).cast("long"), _check(text)).alias("_key"))
+    gone = _components(docs, rule, doc_id, text).where("not kept").select(key(F.col("doc_id"), F.col("check")).alias("_key")).distinct()
+    # one key for the join and the rows that repeat: texts are shuffled once
+    stay = rows.join(gone, "_key", "left_anti").dropDuplicates(["_key"])
+    return stay.select(*[F.col("row").getField(n).alias(n) for n in names])
