@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, lm_scoring, minhash, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts, url_filter
+from . import classifier, decontam, lm_scoring, minhash, oracles, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    judged = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 4) for c in ("class_distance", "word_distance")})
 
 
 def op2_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_distribution_divergence": oracles.quality_rules_sql(),
+    "op7_hyperminhash_near_dedup": oracles.near_duplicates_sql(85),
+    "op3_byte_prefix_shards": oracles.byte_shards_sql(40),
     "op5_weighted_url_vocabulary": url_filter.verdict_sql("pages", URL_RULES),
 }

@@ -139,15 +139,18 @@ def test_url_filter(spark):
     assert url_filter.host_and_path("http://WWW.É.com:80/a/B?c") == ("www.É.com:80", "/a/B")
 
 
-def test_url_filter_equals_sql(spark, tables):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, tables, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    c.sql(f"create view pages as select * from '{tables}/pages.parquet'")
-    cur = c.execute(queries.ORACLES["op5_weighted_url_vocabulary"])
+    for t in ("documents", "pages"):
+        c.sql(f"create view {t} as select * from '{tables}/{t}.parquet'")
+    cur = c.execute(queries.ORACLES[name])
     names = [d[0] for d in cur.description]
     rows = sorted(map(str, cur.fetchall()))
-    got = queries.op5_weighted_url_vocabulary(spark, tables).select(*names).collect()
-    assert sorted(str(tuple(r)) for r in got) == rows
+    got = queries.QUERIES[name](spark, tables)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(str(tuple(r)) for r in got.select(*names).collect()) == rows
 
 
 @pytest.fixture(scope="module")
