@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,30 +36,40 @@ def pua_map(vocabulary: DataFrame, group: str = "lang") -> DataFrame:
     return ranked.select(group, "akshara", point.cast("long").alias("cp"))
 
 
-def code_point(cp: Column) -> Column:
-    """The character of a code point."""
-    raw = F.lpad(F.hex(cp), 8, "0")
-    return F.decode(F.unhex(raw), "UTF-32")
+def _table(mapping: DataFrame, group: str) -> dict[str, dict[str, str]]:
+    """The characters of each language's syllables: at most as many as there are private use code points."""
+    out: dict[str, dict[str, str]] = {}
+    for r in mapping.collect():
+        out.setdefault(r[group], {})[r["akshara"]] = chr(r["cp"])
+    return out
 
 
-def _as_map(mapping: DataFrame, group: str, inverse: bool) -> DataFrame:
-    pair = F.struct(code_point(F.col("cp")), F.col("akshara")) if inverse else F.struct(F.col("akshara"), code_point(F.col("cp")))
-    # a language's syllables: at most as many as there are private use code points
-    return mapping.groupBy(group).agg(F.map_from_entries(F.collect_list(pair)).alias("_map"))
+def remap(segmented: DataFrame, mapping: DataFrame, group: str = "lang") -> DataFrame:
+    """Text in which each mapped segment is one private use character; a space mark is a space again.
 
+    A lookup in a SQL map walks through its entries; here it is a hash lookup in
+    Arrow batches.
+    """
+    table = segmented.sparkSession.sparkContext.broadcast({g: {SPACE_MARK: " "} | m for g, m in _table(mapping, group).items()})
 
-def remap(segmented: DataFrame, mapping: DataFrame, group: str = "lang") -> DataFrame:
-    """Text in which each mapped segment is one private use character; a space mark is a space again."""
-    joined = segmented.join(_as_map(mapping, group, False), group, "left")
-    one = lambda s: F.coalesce(F.try_element_at("_map", s), F.when(s == SPACE_MARK, " ").otherwise(s))
-    return joined.select("doc_id", group, F.array_join(F.transform("segments", one), "").alias("remapped"))
+    @F.pandas_udf("string")
+    def joined(segments: pd.Series, groups: pd.Series) -> pd.Series:
+        plain = {SPACE_MARK: " "}
+        maps = [table.value.get(g, plain) for g in groups]
+        return pd.Series([None if s is None else "".join([m.get(x, x) for x in s]) for s, m in zip(segments, maps)], dtype=object)
+
+    return segmented.select("doc_id", group, joined("segments", group).alias("remapped"))
 
 
 def unmap(remapped: DataFrame, mapping: DataFrame, group: str = "lang") -> DataFrame:
     """The text that was remapped."""
-    joined = remapped.join(_as_map(mapping, group, True), group, "left")
-    one = lambda c: F.coalesce(F.try_element_at("_map", c), c)
-    return joined.select("doc_id", group, F.array_join(F.transform(F.split("remapped", ""), one), "").alias("text"))
+    table = remapped.sparkSession.sparkContext.broadcast({g: {ord(c): a for a, c in m.items()} for g, m in _table(mapping, group).items()})
+
+    @F.pandas_udf("string")
+    def back(text: pd.Series, groups: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else t.translate(table.value.get(g, {})) for t, g in zip(text, groups)], dtype=object)
+
+    return remapped.select("doc_id", group, back("remapped", group).alias("text"))
 
 
 def word_frequencies(docs: DataFrame, text: Column, group: str = "lang") -> DataFrame:
@@ -139,4 +150,4 @@ def score_windows(ids: Column, context: int) -> Column:
 
 def code_points(text: Column) -> Column:
     """Code points of a text as ids."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
