@@ -193,9 +193,9 @@ def signature_matches(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def utf8_prefix(c: Column, limit: int) -> Column:
+def utf8_prefix(c: Column, limit: int | Column) -> Column:
     """The longest prefix of whole characters within ``limit`` UTF-8 bytes."""
-    cut = F.substring(F.encode(c, "UTF-8"), 1, limit)
+    cut = F.substring(F.encode(c, "UTF-8"), F.lit(1), F.lit(limit).cast("int"))
     tail = F.regexp_extract(F.hex(cut), r"(?:[0-7].|F[0-7](?:[89AB].){0,3}|E.(?:[89AB].){0,2}|[CD].(?:[89AB].)?)$", 0)
     need = F.when(tail.startswith("F"), 4).when(tail.startswith("E"), 3).when(tail.rlike("^[CD]"), 2).otherwise(1)
     have = (F.length(tail) / 2).cast("int")

@@ -100,3 +100,18 @@ def sample_sentences(docs: DataFrame, split: DataFrame, limit: int = SAMPLE_SENT
     chosen = marked.groupBy("lang").agg(F.min("split").alias("split"))  # test comes before train
     rows = marked.join(F.broadcast(chosen), ["lang", "split"])
     return ordered.by_number(rows, ["lang"], ["doc_id", "line_no"], F.lit(1), "rank").where(F.col("rank") <= limit)
+
+
+def exact_budget(docs: DataFrame, target: int, done: int = 0, group: str = "lang", text: str = "text") -> DataFrame:
+    """Texts in order until a group has ``target`` bytes, ``done`` of them from an earlier run; the last is cut to whole characters.
+
+    Each text counts with a newline.  Rows before ``done`` bytes are skipped, so
+    a broken copy can go on where it stopped.
+    """
+    sized = docs.where(F.col(text).isNotNull()).select("doc_id", group, text, (F.octet_length(text) + 1).cast("long").alias("_size"))
+    slim = ordered.by_number(sized.drop(text), [group], ["doc_id"], F.col("_size"), "_running")
+    before = F.col("_running") - F.col("_size")
+    inside = slim.where((before >= done) & (before < target)).select("doc_id", (F.lit(target) - before).alias("_room"), "_size")
+    rows = sized.drop("_size").join(inside, "doc_id")
+    whole = F.when(F.col("_size") <= F.col("_room"), F.col(text)).otherwise(T.utf8_prefix(F.col(text), F.col("_room")))
+    return rows.select("doc_id", group, whole.alias(text))

@@ -250,3 +250,10 @@ def test_runs_without_the_optional_parts(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and len(e.oracle_sql()) > 50 and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_exact_budget(spark):
+    docs = spark.createDataFrame([(i, "hi", "कखग") for i in range(5)], "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r["text"] for r in sample.exact_budget(docs, 25).collect()}
+    assert got == {0: "कखग", 1: "कखग", 2: "क"}
+    assert {r["doc_id"] for r in sample.exact_budget(docs, 30, done=10).collect()} == {1, 2}
