@@ -11,11 +11,18 @@ from ..functions import text as T
 from . import ordered
 
 
+#: Estimated bytes for each core below which a table is dealt anew.
+SMALL = 32 << 20
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt to all cores where the scan has fewer partitions (a single file); large inputs stay as they are."""
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows dealt to all cores where the input is so small that a scan gives few tasks; large inputs stay as they are.
+
+    The optimizer's estimate decides; nothing is run for it.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores, key) if size < cores * SMALL else rows
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
