@@ -63,16 +63,10 @@ def clean_line(c: Column, script: ScriptSpec = DEVANAGARI) -> Column:
     return strip_boilerplate(nfc(F.substring(c, 1, script.max_line)))
 
 
-def script_letters(c: Column, script: ScriptSpec) -> tuple[Column, Column]:
-    """Letters of a text, and those of the script; marks and digits are no letters."""
-    letters = F.regexp_replace(c, r"[^\p{L}]", "")
-    return F.length(letters), F.length(F.regexp_replace(letters, f"[^{script.ranges}]", ""))
-
-
 def script_ratio(c: Column, script: ScriptSpec = DEVANAGARI) -> Column:
-    """Share of letters in the script; 0 for a text without letters."""
-    letters, own = script_letters(c, script)
-    return F.when(letters == 0, 0.0).otherwise(own / letters)
+    """Share of letters in the script; 0 for a text without letters.  Marks and digits are no letters."""
+    own = lambda x: F.length(F.regexp_replace(x, f"[^{script.ranges}]", ""))
+    return let(F.regexp_replace(c, r"[^\p{L}]", ""), lambda x: F.when(x == "", 0.0).otherwise(own(x) / F.length(x)))
 
 
 def line_status(cleaned: Column, script: ScriptSpec) -> Column:
@@ -137,7 +131,7 @@ def is_akshara(segment: Column) -> Column:
 
 def starts_with_vowel_sign(piece: Column) -> Column:
     """Whether a token piece, without its markers, begins with a dependent vowel sign."""
-    return token_text(piece).rlike(f"^[{VOWEL_SIGNS}]")
+    return piece.rlike(f"^▁*Ġ*#*[{VOWEL_SIGNS}]")
 
 
 def token_text(piece: Column) -> Column:

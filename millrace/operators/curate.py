@@ -31,8 +31,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def classify(lines: DataFrame, script: ScriptSpec = DEVANAGARI) -> DataFrame:
-    """Lines with their cleaned form and what becomes of them."""
-    return lines.withColumn("cleaned", T.clean_line(F.col("line"), script)).withColumn("status", T.line_status(F.col("cleaned"), script))
+    """Lines with their cleaned form and what becomes of them.
+
+    Both come out of one generator, so a filter on the status does not clean
+    each line a second time.
+    """
+    both = T.let(T.clean_line(F.col("line"), script), lambda c: F.struct(c.alias("cleaned"), T.line_status(c, script).alias("status")))
+    return lines.select("*", F.explode(F.array(both)).alias("_both")).select(*lines.columns, "_both.cleaned", "_both.status")
 
 
 def kept_lines(docs: DataFrame, script: ScriptSpec = DEVANAGARI) -> DataFrame:

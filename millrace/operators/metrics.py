@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MAX_WORDS
+from ..config import MAX_WORDS, VOWEL_SIGNS
 from ..functions import text as T
 from . import ordered
 
@@ -56,9 +56,12 @@ def tokenizer_metrics(rows: DataFrame, pieces: Column, text: Column, group: str
     ``rows`` has one sentence each.  The share is null where no piece shows a
     vowel sign (pieces of a byte-level tokenizer).
     """
-    begun = F.size(F.filter(pieces, T.starts_with_vowel_sign))
-    seen = F.size(F.filter(pieces, lambda p: T.vowel_signs(p) > 0))
-    counted = rows.select(group, F.size(pieces).cast("long").alias("t"), F.length(text).cast("long").alias("c"), begun.cast("long").alias("b"), seen.cast("long").alias("s"), T.vowel_signs(text).cast("long").alias("v"))
+    long = lambda c, name: c.cast("long").alias(name)
+    # of the pieces only those that show a vowel sign matter; they are split off once
+    signs = lambda ps: F.filter(ps, lambda p: p.rlike(f"[{VOWEL_SIGNS}]"))
+    begun = lambda ps: F.size(F.filter(ps, T.starts_with_vowel_sign))
+    both = T.let(pieces, lambda ps: T.let(signs(ps), lambda s: F.struct(long(F.size(ps), "t"), long(begun(s), "b"), long(F.size(s), "s"))))
+    counted = rows.select(group, F.explode(F.array(both)).alias("x"), long(F.length(text), "c"), long(T.vowel_signs(text), "v")).select(group, "x.*", "c", "v")
     return counted.groupBy(group).agg(
         F.count("*").alias("sentences"),
         F.sum("t").alias("total_tokens"),
