@@ -40,6 +40,8 @@ from .textbatch import Texts, checkpoint, mix, shuffle_width, slices, small_batc
 _U = np.uint64
 #: Bytes of text whose anchors are sought at once; some ten words of memory go with each.
 ANCHOR_SLICE = 1 << 19
+#: Contexts that are put into one suffix array; whole anchors only.
+TREE_ROWS = 5_000
 _BASES = (_U(0x9E3779B97F4A7C55), _U(0xC2B2AE3D27D4EB4F))
 
 
@@ -278,7 +280,7 @@ def _tree_task(rule: Repeats):
         for b in batches:
             held.append(b)
             n += b.num_rows
-            if n >= 12_000:  # whole anchors only
+            if n >= TREE_ROWS:  # whole anchors only
                 table = pa.Table.from_batches(held)
                 h = table.column("hash").to_numpy()
                 at = int(np.searchsorted(h, h[-1], "left"))
@@ -350,14 +352,14 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _covered(part: pa.RecordBatch, texts: Texts) -> np.ndarray:
     """Which bytes of a slice lie in its rows' ranges."""
-    edge = np.zeros(texts.size + 1, np.int64)
+    edge = np.zeros(texts.size + 1, np.int32)
     lists = part.column("ranges")
     owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)) if lists.null_count == 0 else [len(x) if x is not None else 0 for x in lists.to_pylist()])
     flat = lists.flatten()
     begin, end = flat.field("begin").to_numpy(zero_copy_only=False), flat.field("end").to_numpy(zero_copy_only=False)
     np.add.at(edge, texts.offsets[owner] + begin, 1)
     np.subtract.at(edge, texts.offsets[owner] + end, 1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _with_ranges(docs: DataFrame, rule: Repeats, doc_id: str, text: str, keep: list[str]) -> DataFrame:
@@ -384,7 +386,7 @@ def removed_bytes(docs: DataFrame, rule: Repeats = Repeats(), doc_id: str = "doc
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=ANCHOR_SLICE):
             texts = Texts(part.column("text"))
             gone = _covered(part, texts)
             o = texts.offsets
@@ -416,7 +418,7 @@ def without_repeats(docs: DataFrame, rule: Repeats = Repeats(), doc_id: str = "d
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=ANCHOR_SLICE):
             texts = Texts(part.column("text"))
             gone = _covered(part, texts)
             # a character goes only if all its bytes do
