@@ -4,8 +4,8 @@ A seed is a window of tokens of which a fixed mask looks at some and ignores the
 others, so a seed survives substituted words at the ignored places.  Seeds of
 the benchmark items are looked up at every position of every document.  A hit
 gives an item and a diagonal (how far the document is shifted against the item);
-along the diagonal the best stretch of agreeing words is taken, with a penalty
-for each substituted one, and verified against a least length and share.
+along the diagonal the stretch with most agreeing words is taken, of all those
+with the least share of them, and verified against a least number of words.
 
 The benchmark is a stated query set.  It is read in blocks of bounded size, and
 a block's index, never the documents, goes to the workers.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,6 @@ class Overlap:
     words: int = 12
     share: float = 0.8
     min_item_words: int = 4
-    mismatch: float = 2.0
     block_tokens: int = 1 << 20
 
 
@@ -113,14 +113,26 @@ class Index:
         return u[:, 0], u[:, 1], u[:, 2]
 
 
-def best_stretch(same: np.ndarray, mismatch: float) -> tuple[int, int]:
-    """Start and end of the stretch with most agreeing words less ``mismatch`` for each other one."""
+def best_stretch(same: np.ndarray, share: float) -> tuple[int, int]:
+    """Start and end of the stretch with most agreeing words of all stretches in which ``share`` or more agree; of equal ones the shortest.
+
+    With 1 - share for an agreeing word and -share for another, in whole
+    numbers, the stretches that fit are those whose sum is not negative.
+    """
     if same.all():
         return 0, len(same)
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -mismatch))])
+    part = Fraction(str(share))
+    total = np.concatenate([[0], np.cumsum(np.where(same, part.denominator - part.numerator, -part.numerator))])
+    agree = np.concatenate([[0], np.cumsum(same)])
+    # the first place whose total is no more than that of each end
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[: end + 1])), end
+    first = np.searchsorted(-low, -total, "left")
+    # a substituted word at the start is no part of the stretch
+    begin = np.append(np.flatnonzero(same), len(same))[agree[first]]
+    n = agree - agree[first]
+    ends = np.flatnonzero(n == n.max())
+    end = int(ends[np.argmin(ends - begin[ends])])
+    return min(int(begin[end]), end), end
 
 
 def overlaps(texts: Texts, index: Index, rule: Overlap) -> list[tuple[int, int, int, int, int, int]]:
@@ -133,9 +145,12 @@ def overlaps(texts: Texts, index: Index, rule: Overlap) -> list[tuple[int, int,
         item = index.tokens[k]
         first, last = max(shift, int(o[d])), min(shift + len(item), int(o[d + 1]))
         same = h[first:last] == item[first - shift : last - shift]
-        i, j = best_stretch(same, rule.mismatch)
+        least = min(rule.words, rule.share * len(item))
+        if same.sum() < least:
+            continue
+        i, j = best_stretch(same, rule.share)
         agree = int(same[i:j].sum())
-        if agree >= min(rule.words, rule.share * len(item)) and agree >= rule.share * (j - i):
+        if agree >= least:
             row = (d, k, first + i - int(o[d]), j - i, agree, first + i - shift)
             if (d, k) not in best or agree > best[d, k][4]:
                 best[d, k] = row

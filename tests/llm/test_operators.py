@@ -294,6 +294,28 @@ def test_decontamination(spark, docs, empty):
     assert decontam.decontaminate(docs, bench.where("false")).count() == docs.count()
 
 
+def test_stretch_is_the_best_of_all(spark):
+    r = random.Random(11)
+    items, rows, want = [], [], set()
+    for k in range(300):
+        n, rate = r.choice([15, 18, 40, 104]), r.choice([0.1, 0.15, 0.2, 0.25])
+        same = [r.random() >= rate for _ in range(n)]
+        fits = [(sum(same[i:j]), i - j) for i in range(n) for j in range(i + 1, n + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)]
+        i, j = decontam.best_stretch(np.array(same), 0.8)
+        assert (sum(same[i:j]), i - j) == max(fits)
+        items.append((k, " ".join(f"i{k}w{x}" for x in range(n))))
+        rows.append((k, " ".join(f"i{k}w{x}" if s else f"new{x}" for x, s in enumerate(same))))
+        if max(fits)[0] >= 12:
+            want.add((k, k))
+    # 20 words as they are, then two substituted of each seven
+    items.append((300, " ".join(f"a{x}" for x in range(104))))
+    rows.append((300, " ".join(f"a{x}" if x < 20 or (x - 20) % 7 > 1 else "new" for x in range(104))))
+    want.add((300, 300))
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want and all(x["n_same"] >= 12 and 5 * x["n_same"] >= 4 * x["n_words"] for x in found)
+    assert decontam.best_stretch(np.zeros(5, bool), 0.8) == (0, 0)
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
