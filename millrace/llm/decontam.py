@@ -69,7 +69,7 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
 class Index:
     """Seeds of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rule: Overlap):
+    def __init__(self, items: list[tuple[int | None, str]], rule: Overlap):
         texts = Texts(pa.array([t for _, t in items], pa.string()), lower=True)
         texts.words()
         h = tokens_of(texts)
@@ -158,12 +158,13 @@ def overlaps(texts: Texts, index: Index, rule: Overlap) -> list[tuple[int, int,
 
 
 def _blocks(benchmark: DataFrame, rule: Overlap, item_id: str, text: str) -> Iterator[Index]:
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null and item_id is not null")
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     n = max(1, -(-size // rule.block_tokens))
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else rows
-        yield Index(sorted((r["item_id"], r["text"]) for r in part.collect()), rule)  # bounded by block_tokens
+        items = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))  # bounded by block_tokens
+        yield Index(items, rule)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -172,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap(
     Returns doc_id, item_id, doc_word and item_word (where the overlap begins),
     n_words, n_same and share of the longest overlap.  Null and empty texts, and
     items of fewer than ``min_item_words`` words, overlap with nothing; repeated
-    rows are reported each.
+    rows are reported each, and an item without an id has a null item_id.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

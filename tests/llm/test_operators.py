@@ -316,6 +316,16 @@ def test_stretch_is_the_best_of_all(spark):
     assert decontam.best_stretch(np.zeros(5, bool), 0.8) == (0, 0)
 
 
+@pytest.mark.parametrize("tokens", [1 << 20, 10])
+def test_items_without_an_id(spark, tokens):
+    items = [(None, data.prose(950, 30)), (None, data.prose(951, 30)), (3, data.prose(952, 30)), (None, None)]
+    rows = [(k, f"before {t} after") for k, (_, t) in enumerate(items[:3])] + [(3, data.prose(953, 30))]
+    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rule = decontam.Overlap(block_tokens=tokens)
+    assert {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(table, bench, rule).collect()} == {(0, None), (1, None), (2, 3)}
+    assert [x["doc_id"] for x in decontam.decontaminate(table, bench, rule).collect()] == [3]
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
