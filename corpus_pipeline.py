@@ -25,8 +25,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 280 bytes (some 45 words) that occur elsewhere are cut out of the texts."""
-    cut = suffix_dedup.without_repeats(docs, suffix_dedup.Repeats(length=280, anchor=64))
+    """Passages of over 50 words, and strings of 280 bytes, that occur elsewhere are cut out of the texts."""
+    cut = suffix_dedup.without_repeats(docs, suffix_dedup.Repeats(length=280, anchor=64), suffix_dedup.Repeats(length=51, anchor=12, words=True))
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

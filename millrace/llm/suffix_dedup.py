@@ -21,6 +21,10 @@ sorted, and only those whose anchor occurs more than once:
    are counted by hash instead, one row for each window, which no key gathers.
 
 Hashes of contexts and windows have 128 bits.
+
+With ``words`` the same is done to words in place of bytes: lengths and places
+count words, a word is the 64-bit hash of its bytes, and what stands between
+words does not matter.  Contexts travel as bytes and are cut into words again.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +51,12 @@ _BASES = (_U(0x9E3779B97F4A7C55), _U(0xC2B2AE3D27D4EB4F))
 
 @dataclass(frozen=True)
 class Repeats:
-    """Length of a repeat, of an anchor, and how many contexts of one anchor a task sorts."""
+    """Length of a repeat, of an anchor (bytes, or words with ``words``), and how many contexts of one anchor a task sorts."""
 
     length: int = 400
     anchor: int = 128
     most_contexts: int = 400
+    words: bool = False
 
 
 @lru_cache(maxsize=2)
@@ -81,13 +86,21 @@ def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def units(texts: Texts, rule: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """What repeats are made of, bytes or hashes of words, and each document's first one."""
+    if not rule.words:
+        return texts.bytes, texts.offsets
+    texts.words()
+    return texts.word_hashes(), texts.word_offsets
+
+
 class Rolling:
-    """Hashes of any byte ranges of a buffer by prefix sums."""
+    """Hashes of any ranges of bytes or of word hashes by prefix sums."""
 
     def __init__(self, data: np.ndarray, which: int):
         self.up, self.down = _power_tables(which, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, _U)
-        terms = _byte_values(which)[data]
+        terms = _byte_values(which)[data] if data.dtype == np.uint8 else mix(data + _BASES[which])
         terms *= self.up[: len(data)]
         np.cumsum(terms, out=self.sums[1:])
 
@@ -114,11 +127,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def find_anchors(texts: Texts, rule: Repeats) -> dict[str, np.ndarray]:
-    """Anchors of a slice: document, place, hash, context hashes and the context's reach to the left and right."""
+    """Anchors of a slice: document, place, hash, context hashes, the context's reach to the left and right, and its bytes."""
     w, k = rule.length, rule.anchor
-    data = texts.bytes
-    names = ("doc", "place", "hash", "one", "two", "left", "right")
-    if len(data) < w or not (np.diff(texts.offsets) >= w).any():
+    data, offsets = units(texts, rule)
+    names = ("doc", "place", "hash", "one", "two", "left", "right", *_bytes_of(rule))
+    if len(data) < w or not (np.diff(offsets) >= w).any():
         return {name: np.zeros(0, _U if name in ("hash", "one", "two") else np.int64) for name in names}
     first = Rolling(data, 0)
     grams = first.every(k)
@@ -128,25 +141,30 @@ def find_anchors(texts: Texts, rule: Repeats) -> dict[str, np.ndarray]:
     chosen = (sliding_least(packed, w - k + 1) & low).astype(np.int64)
     # windows inside a document
     inside = np.zeros(len(chosen) + 1, np.int8)
-    long_ = np.flatnonzero(np.diff(texts.offsets) >= w)
-    inside[texts.offsets[long_]] += 1
-    np.subtract.at(inside, np.minimum(texts.offsets[long_ + 1] - w + 1, len(chosen)), 1)
+    long_ = np.flatnonzero(np.diff(offsets) >= w)
+    inside[offsets[long_]] += 1
+    np.subtract.at(inside, np.minimum(offsets[long_ + 1] - w + 1, len(chosen)), 1)
     start = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int64) > 0)
     place = chosen[start]
     new = np.r_[True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]
     at = np.flatnonzero(new)
     begin, last = start[at], start[np.append(at[1:], len(start)) - 1]
     place = place[at]
-    doc = np.searchsorted(texts.offsets, begin, "right") - 1
+    doc = np.searchsorted(offsets, begin, "right") - 1
     second = Rolling(data, 1)
+    size = {}
+    if rule.words:
+        first_byte = texts.starts[begin]
+        size = {"first_byte": first_byte - texts.offsets[doc], "n_bytes": texts.ends[last + w - 1] - first_byte}
     return {
         "doc": doc,
-        "place": place - texts.offsets[doc],
+        "place": place - offsets[doc],
         "hash": grams[place],
         "one": first.at(begin, last + w),
         "two": second.at(begin, last + w),
         "left": place - begin,
         "right": last + w - place,
+        **size,
     }
 
 
@@ -171,12 +189,13 @@ def prefix_intervals(common: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((here, begin))
 
 
-def _matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(strings: list[bytes], width: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes, or of words of ``unit`` 8 bytes, and how many each has; ``width`` counts bytes."""
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     out = np.zeros((len(strings), width), np.uint8)
     inside = np.arange(width) < size[:, None]
     out[inside] = np.frombuffer(b"".join(strings), np.uint8)
-    return out, size
+    return (out, size) if unit == 1 else (out.view(_U), size // unit)
 
 
 def _agreement(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -186,31 +205,32 @@ def _agreement(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(first, most)
 
 
-def maximal_repeats(group: np.ndarray, before: list[bytes], after: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def maximal_repeats(group: np.ndarray, before: list[bytes], after: list[bytes], length: int, unit: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Maximal repeats of anchored strings: (occurrences, each one's common left extension, right extent).
 
     ``before`` is the text before an anchor, ``after`` that from it on; only
     strings of the same group are compared.  Each yield is a class of all
     occurrences in a common-prefix interval whose left extensions agree so far
     that the repeat has ``length`` bytes or more; an occurrence's left extension
-    is the longest that it shares with another one of the class.
+    is the longest that it shares with another one of the class.  With ``unit``
+    8 strings are words of 8 bytes, and all lengths count words.
     """
     n = len(after)
     back = [s[::-1] for s in before]
-    width = max(map(len, after), default=1) or 1
+    width = max(map(len, after), default=unit) or unit
     order = np.array(sorted(range(n), key=lambda i: (group[i], after[i])), np.int64)
-    right, right_size = _matrix([after[i] for i in order], width)
+    right, right_size = _matrix([after[i] for i in order], width, unit)
     g = group[order]
     common = np.zeros(n, np.int64)
     if n > 1:
         common[1:] = np.where(g[1:] == g[:-1], _agreement(right[1:], right[:-1], np.minimum(right_size[1:], right_size[:-1])), 0)
-    left_width = max(map(len, before), default=0) or 1
-    left, left_size = _matrix(back, left_width)
+    left_width = max(map(len, before), default=0) or unit
+    left, left_size = _matrix(back, left_width, unit)
     rank = np.empty(n, np.int64)
     rank[sorted(range(n), key=lambda i: (group[i], back[i]))] = np.arange(n)
     pairs: list[tuple[int, int, int]] = []
     for extent, first, last in prefix_intervals(common):
-        if extent + left_width < length:
+        if extent + left_width // unit < length:
             continue
         if last == first + 1:
             pairs.append((extent, order[first], order[last]))
@@ -239,6 +259,11 @@ _KEY = ["hash", "one", "two", "left", "right"]
 _KEY_TYPES = "hash long, one long, two long, left int, right int"
 
 
+def _bytes_of(rule: Repeats) -> list[str]:
+    """Columns that say which bytes a context of words is."""
+    return ["first_byte", "n_bytes"] if rule.words else []
+
+
 def anchors(docs: DataFrame, rule: Repeats) -> DataFrame:
     """Anchors of (doc_id, check, text) rows."""
     small_batches(docs.sparkSession)
@@ -254,11 +279,12 @@ def anchors(docs: DataFrame, rule: Repeats) -> DataFrame:
                     part.column("doc_id").take(at),
                     part.column("check").take(at),
                     pa.array(a["place"]),
+                    *[pa.array(a[k]) for k in _bytes_of(rule)],
                 ],
-                [*_KEY, "doc_id", "check", "place"],
+                [*_KEY, "doc_id", "check", "place", *_bytes_of(rule)],
             )
 
-    return docs.mapInArrow(run, f"{_KEY_TYPES}, doc_id long, check long, place long")
+    return docs.mapInArrow(run, f"{_KEY_TYPES}, doc_id long, check long, place long" + "".join(f", {k} long" for k in _bytes_of(rule)))
 
 
 def _tree_task(rule: Repeats):
@@ -266,9 +292,14 @@ def _tree_task(rule: Repeats):
 
     def ranges(rows: pa.Table) -> pa.RecordBatch:
         text, left = rows.column("context").to_pylist(), rows.column("left").to_pylist()
+        unit = 8 if rule.words else 1
+        if rule.words:
+            h, o = units(Texts(rows.column("context")), rule)
+            text = [h[o[i] : o[i + 1]].tobytes() for i in range(len(text))]
+            left = [8 * k for k in left]
         group = np.unique(rows.column("hash").to_numpy(), return_inverse=True)[1]
         found: set[tuple[int, int, int]] = set()
-        for members, extension, extent in maximal_repeats(group, [t[:k] for t, k in zip(text, left)], [t[k:] for t, k in zip(text, left)], rule.length):
+        for members, extension, extent in maximal_repeats(group, [t[:k] for t, k in zip(text, left)], [t[k:] for t, k in zip(text, left)], rule.length, unit):
             found.update(zip(members.tolist(), (-extension).tolist(), [extent] * len(members)))
         at = pa.array([f[0] for f in found], pa.int64())
         keys = [rows.column(k).combine_chunks().take(at) for k in _KEY]
@@ -299,12 +330,12 @@ def _window_task(rule: Repeats):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = Texts(b.column("context"))
-            size = np.maximum(np.diff(texts.offsets) - rule.length + 1, 0)
+            data, offsets = units(Texts(b.column("context")), rule)
+            size = np.maximum(np.diff(offsets) - rule.length + 1, 0)
             row = np.repeat(np.arange(b.num_rows), size)
             step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            start = texts.offsets[row] + step
-            hashes = [Rolling(texts.bytes, i).at(start, start + rule.length) for i in (0, 1)]
+            start = offsets[row] + step
+            hashes = [Rolling(data, i).at(start, start + rule.length) for i in (0, 1)]
             place = b.column("left").to_numpy()[row] - step
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in _KEY], *[pa.array(h.view(np.int64)) for h in hashes], pa.array(place.astype(np.int64))], [*_KEY, "w1", "w2", "offset"])
@@ -312,32 +343,33 @@ def _window_task(rule: Repeats):
     return run
 
 
-def _contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+def _contexts(wanted: DataFrame, docs: DataFrame, rule: Repeats) -> DataFrame:
     """Bytes of the contexts of (key, doc_id, check, place) rows."""
     d, w = docs.alias("d"), wanted.alias("w")
     joined = w.join(d, F.expr("d.doc_id <=> w.doc_id and d.check = w.check"))
-    return joined.select(*[f"w.{k}" for k in _KEY], "w.contexts", F.expr("substring(cast(d.text as binary), int(w.place - w.left + 1), w.left + w.right)").alias("context"))
+    where = "int(w.first_byte + 1), int(w.n_bytes)" if rule.words else "int(w.place - w.left + 1), w.left + w.right"
+    return joined.select(*[f"w.{k}" for k in _KEY], "w.contexts", F.expr(f"substring(cast(d.text as binary), {where})").alias("context"))
 
 
 def repeated_ranges(docs: DataFrame, rule: Repeats) -> DataFrame:
-    """Repeated byte ranges (doc_id, check, begin, end) of (doc_id, check, text) rows."""
+    """Repeated ranges of bytes or words (doc_id, check, begin, end) of (doc_id, check, text) rows."""
     found = anchors(docs, rule)
     # counted apart from the join, so that the join's own shuffle can be split where an anchor is frequent
     often = checkpoint(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     repeated = checkpoint(found.join(often, "hash"))
     # one row for each different context; the least place stands for it
-    kinds = checkpoint(repeated.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "place")).alias("at")))
+    kinds = checkpoint(repeated.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "place", *_bytes_of(rule))).alias("at")))
     several = checkpoint(kinds.groupBy("hash").agg(F.count("*").alias("contexts")).where("contexts > 1"))
-    kinds = checkpoint(kinds.join(several, "hash", "left").select(*_KEY, "n", F.coalesce("contexts", F.lit(1)).alias("contexts"), "at.doc_id", "at.check", "at.place"))
+    kinds = checkpoint(kinds.join(several, "hash", "left").select(*_KEY, "n", F.coalesce("contexts", F.lit(1)).alias("contexts"), "at.doc_id", "at.check", "at.place", *[f"at.{k}" for k in _bytes_of(rule)]))
     whole = kinds.where("n > 1").select(*_KEY, (-F.col("left")).cast("long").alias("begin"), F.col("right").cast("long").alias("end"))
     partial = kinds.where("contexts > 1").drop("n")
-    some = _contexts(partial.where(F.col("contexts") <= rule.most_contexts), docs)
+    some = _contexts(partial.where(F.col("contexts") <= rule.most_contexts), docs, rule)
     wide = shuffle_width(docs.sparkSession)
     tree = some.drop("contexts").repartition(wide, "hash").sortWithinPartitions("hash").mapInArrow(_tree_task(rule), f"{_KEY_TYPES}, begin long, end long")
     ranges = whole.unionByName(tree)
     many = partial.where(F.col("contexts") > rule.most_contexts)
     if not many.isEmpty():
-        listed = _contexts(many, docs).mapInArrow(_window_task(rule), f"{_KEY_TYPES}, w1 long, w2 long, offset long")
+        listed = _contexts(many, docs, rule).mapInArrow(_window_task(rule), f"{_KEY_TYPES}, w1 long, w2 long, offset long")
         twice = listed.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         hit = listed.join(twice, ["w1", "w2"]).select(*_KEY, (-F.col("offset")).alias("begin"), (F.lit(rule.length) - F.col("offset")).alias("end"))
         ranges = ranges.unionByName(hit)
@@ -351,26 +383,38 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _covered(part: pa.RecordBatch, texts: Texts) -> np.ndarray:
-    """Which bytes of a slice lie in its rows' ranges."""
+    """Which bytes of a slice lie in its rows' ranges; with words, from a range's first word to the end of its last one."""
     edge = np.zeros(texts.size + 1, np.int32)
     lists = part.column("ranges")
     owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)) if lists.null_count == 0 else [len(x) if x is not None else 0 for x in lists.to_pylist()])
     flat = lists.flatten()
     begin, end = flat.field("begin").to_numpy(zero_copy_only=False), flat.field("end").to_numpy(zero_copy_only=False)
-    np.add.at(edge, texts.offsets[owner] + begin, 1)
-    np.subtract.at(edge, texts.offsets[owner] + end, 1)
+    of_words = np.zeros(len(owner), bool)
+    if flat.type.num_fields == 3:
+        of_words = flat.field("words").to_numpy(zero_copy_only=False).astype(bool)
+        texts.words()
+    o, w = owner[~of_words], owner[of_words]
+    from_, to = begin[of_words], end[of_words]
+    begin, end = texts.offsets[o] + begin[~of_words], texts.offsets[o] + end[~of_words]
+    if len(w):
+        begin = np.concatenate([begin, texts.starts[texts.word_offsets[w] + from_]])
+        end = np.concatenate([end, texts.ends[texts.word_offsets[w] + to - 1]])
+    np.add.at(edge, begin, 1)
+    np.subtract.at(edge, end, 1)
     return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
-def _with_ranges(docs: DataFrame, rule: Repeats, doc_id: str, text: str, keep: list[str]) -> DataFrame:
+def _with_ranges(docs: DataFrame, rules: tuple[Repeats, ...], doc_id: str, text: str, keep: list[str]) -> DataFrame:
     rows = _identified(docs, doc_id, text)
-    found = repeated_ranges(rows, rule).groupBy("doc_id", "check").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))  # bounded by one text
+    marks = ["words"] if any(r.words for r in rules) else []
+    each = [repeated_ranges(rows, r).withColumns({k: F.lit(r.words) for k in marks}) for r in rules]
+    found = reduce(DataFrame.unionByName, each).groupBy("doc_id", "check").agg(F.collect_set(F.struct("begin", "end", *marks)).alias("ranges"))  # bounded by one text
     if keep:
         body = F.coalesce(F.col(text).cast("string"), F.lit(""))
         rows = docs.select(F.struct(*keep).alias("kept_row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("check"), body.alias("text"))
     f = found.alias("f")
     r = rows.alias("r")
-    none = F.array().cast("array<struct<begin:long,end:long>>")
+    none = F.array().cast("array<struct<begin:long,end:long" + (",words:boolean>>" if marks else ">>"))
     columns = [F.col(f"r.{c}") for c in rows.columns if c != "check"]
     return r.join(f, F.expr("r.doc_id <=> f.doc_id and r.check = f.check"), "left").select(*columns, F.coalesce("f.ranges", none).alias("ranges"))
 
@@ -382,7 +426,7 @@ def removed_bytes(docs: DataFrame, rule: Repeats = Repeats(), doc_id: str = "doc
     ``rule.length`` loses nothing.  Rows that repeat are occurrences like any
     other.  Every input row gives one row.
     """
-    joined = _with_ranges(docs, rule, doc_id, text, [])
+    joined = _with_ranges(docs, (rule,), doc_id, text, [])
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,14 +451,14 @@ def removed_bytes(docs: DataFrame, rule: Repeats = Repeats(), doc_id: str = "doc
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<begin:long,end:long>>")
 
 
-def without_repeats(docs: DataFrame, rule: Repeats = Repeats(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents with repeated strings cut out of their text, all other columns unchanged.
+def without_repeats(docs: DataFrame, *rules: Repeats, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents with the strings that repeat by any of the rules cut out of their text, all other columns unchanged.
 
     A cut that would fall inside a character is moved to the characters inside
     the repeat, so texts stay valid UTF-8.  Null texts stay null.
     """
     names = docs.columns
-    joined = _with_ranges(docs, rule, doc_id, text, names)
+    joined = _with_ranges(docs, rules or (Repeats(),), doc_id, text, names)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,30 @@ def test_suffix_dedup_cuts_whole_characters(spark):
     assert got == {1: "ab", 2: "cd", 3: None}
 
 
+@pytest.mark.parametrize("most", [400, 1])
+def test_suffix_dedup_of_words(spark, most):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(1, 4)))
+    passages = [[word() for _ in range(n)] for n in (51, 52, 60, 120, 50)]
+    rows = []
+    for k in range(40):
+        w = [word() for _ in range(60)]
+        w[30:30] = passages[k % 5][: 51 if k in (8, 13) else None]
+        rows.append(("\n " if k % 3 else " ").join(w))
+    rows += [None, "", "one", rows[0], " ".join(passages[0])]
+    windows = collections.Counter(tuple(w[i : i + 51]) for w in ((t or "").split() for t in rows) for i in range(len(w) - 50))
+    want = []
+    for t in rows:
+        w = (t or "").split()
+        gone = {i + x for i in range(len(w) - 50) if windows[tuple(w[i : i + 51])] > 1 for x in range(51)}
+        want.append([x for i, x in enumerate(w) if i not in gone])
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    rule = suffix_dedup.Repeats(length=51, anchor=12, most_contexts=most, words=True)
+    got = {x["doc_id"]: x["text"] for x in suffix_dedup.without_repeats(table, rule).collect()}
+    assert [(got[i] or "").split() for i in range(len(rows))] == want and got[40] is None
+    assert sum(len(w) for w in want) < sum(len((t or "").split()) for t in rows)
+
+
 def test_maximal_repeats_lists_all_occurrences():
     before, after = [b"xxab", b"yyab", b"zzab", b"zzzz"], [b"cdef1", b"cdef2", b"cdef3", b"cdef4"]
     groups = list(suffix_dedup.maximal_repeats(np.zeros(4, int), before, after, 6))

@@ -33,6 +33,16 @@ def test_stages_take_awkward_rows(spark, tables, pipeline):
             assert stage(spark, rows, tables).count() <= rows.count(), name
 
 
+def test_repeat_removal_cuts_passages_of_short_words(spark, tables, pipeline):
+    passage, long_ = " ".join(f"{chr(97 + k % 26)}{k // 26}" for k in range(51)), "字" * 100
+    texts = [f"{data.prose(1, 80)} {passage} {data.prose(2, 80)}", f"{data.prose(3, 80)} {passage} {data.prose(4, 80)}", f"one {long_}", f"two {long_}"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in pipeline.repeat_removal(spark, docs, tables).collect()}
+    assert len(passage.encode()) < 280
+    assert [got[k].split() for k in (0, 1)] == [(data.prose(a, 80) + " " + data.prose(a + 1, 80)).split() for a in (1, 3)]
+    assert [got[2].strip(), got[3].strip()] == ["one", "two"]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
