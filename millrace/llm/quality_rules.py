@@ -5,6 +5,8 @@ with references of its corpus, one for each language label, by Jensen-Shannon
 distance (square root of the divergence in bits, 0 to 1).  The references are
 measured over all documents in a first pass; a document is held against its own
 language's reference where there is one and against the nearest one otherwise.
+Every label has a reference: those of the labels with most words go to all
+workers, the others stay in a table and are joined with their documents.
 Short texts give noisy histograms, so each comparison has a least length below
 which it does not judge.  Plain counts (words, symbols, repeated lines and
 five-word windows) come with it and form a base rule.
@@ -12,15 +14,16 @@ five-word windows) come with it and form a base rule.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .textbatch import LOWER, SPACE, Texts, mix, seg_sum, slices, small_batches, windows
+from .textbatch import LOWER, SPACE, Texts, checkpoint, mix, seg_sum, slices, small_batches, windows
 
 _U = np.uint64
 
@@ -58,7 +61,8 @@ class Limits:
     min_common_words: int = 60
     max_word_distance: float = 0.24
     word_noise: float = 0.9  # a sample of n words lies about noise / sqrt(n) further off
-    max_references: int = 256
+    max_references: int = 256  # labels whose references go to all workers
+    block_references: int = 4096  # references put together where the nearest of all is sought
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -159,12 +163,8 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
     return out
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits()) -> dict[str, tuple[list[float], list[float]]]:
-    """Frequencies of character classes and common words by language label, over all documents.
-
-    Of more than ``max_references`` labels those with most words are kept; the
-    rest of the documents are then held against the nearest reference.
-    """
+def reference_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Counts of character classes and common words of each language label over all documents (lang, counts, words), a table."""
     small_batches(docs.sparkSession)
     k, w = len(CLASSES), len(VOCABULARY) + 1
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
@@ -192,18 +192,19 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", limits:
         .select("lang", F.transform("bins", lambda x: x["n"]).alias("counts"))
     )
     words = F.aggregate(F.slice("counts", k + 1, w), F.lit(0).cast("long"), lambda a, x: a + x)
-    kept = sums.withColumn("words", words).where("words > 0 and lang != ''").orderBy(F.desc("words"), "lang").limit(limits.max_references).collect()
-    out = {}
-    for r in kept:
-        counts = np.array(r["counts"], float)
-        out[r["lang"]] = ((counts[:k] / counts[:k].sum()).tolist(), (counts[k:] / counts[k:].sum()).tolist())
-    return out
+    return checkpoint(sums.withColumn("words", words).where("words > 0 and lang != ''"))
+
+
+def frequencies(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A reference: frequencies of character classes and of common words."""
+    c, k = np.array(counts, float), len(CLASSES)
+    return c[:k] / c[:k].sum(), c[k:] / c[k:].sum()
 
 
 class Judge:
     """The rules with their references, for slices of texts."""
 
-    def __init__(self, known: dict[str, tuple[list[float], list[float]]], limits: Limits):
+    def __init__(self, known: dict[str, tuple[np.ndarray, np.ndarray]], limits: Limits):
         self.limits = limits
         names = sorted(known)
         self.at = {n: i for i, n in enumerate(names)}
@@ -216,17 +217,27 @@ class Judge:
         if len(refs):
             judged = total >= least
             p = counts[judged] / total[judged, None]
-            each = np.stack([js_distance(p, q) for q in refs], 1)
             mine = own[judged]
-            out[judged] = np.where(mine >= 0, each[np.arange(len(p)), np.maximum(mine, 0)], each.min(1))
+            has, got = mine >= 0, np.full(len(p), np.inf)
+            got[has] = js_distance(p[has], refs[mine[has]])
+            if not has.all():
+                for q in refs:
+                    got[~has] = np.minimum(got[~has], js_distance(p[~has], q))
+            out[judged] = got
         return out
 
-    def __call__(self, texts: Texts, langs: list[str | None]) -> dict[str, np.ndarray]:
+    def distances(self, chars: np.ndarray, common: np.ndarray, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        own = np.array([self.at.get(x, -1) for x in langs], np.int64)
+        return self._distance(chars, self.limits.min_class_chars, self.classes, own), self._distance(common, self.limits.min_common_words, self.words, own)
+
+    def __call__(self, texts: Texts, langs: list[str | None], others: Iterator[Judge] = ()) -> dict[str, np.ndarray]:
+        """Counts, distances and verdict; the references of ``others`` are used as well where a document has none of its own."""
         limits, c = self.limits, base_counts(texts)
         chars, common = histograms(texts)
-        own = np.array([self.at.get(x, -1) for x in langs], np.int64)
-        c["class_distance"] = self._distance(chars, limits.min_class_chars, self.classes, own)
-        c["word_distance"] = self._distance(common, limits.min_common_words, self.words, own)
+        near = self.distances(chars, common, langs)
+        for other in others:
+            near = tuple(np.fmin(x, y) for x, y in zip(near, other.distances(chars, common, langs)))
+        c["class_distance"], c["word_distance"] = near
         c["base_failed"] = (c["n_words"] < limits.min_words) | (100 * c["n_repeat_words"] > limits.max_repeat_percent * c["n_words"])
         allowed = limits.max_word_distance + limits.word_noise / np.sqrt(np.maximum(c["n_words"], 1))
         with np.errstate(invalid="ignore"):
@@ -234,51 +245,70 @@ class Judge:
         return c
 
 
-def judge(
-    docs: DataFrame,
-    known: dict[str, tuple[list[float], list[float]]],
-    limits: Limits = Limits(),
-    doc_id: str = "doc_id",
-    text: str = "text",
-    lang: str = "lang",
-) -> DataFrame:
+def _judged(docs: DataFrame, limits: Limits, text: str, lang: str, put: Callable[[pa.RecordBatch, dict[str, np.ndarray]], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """What ``put`` makes of each slice of documents and the rules' results."""
+    small_batches(docs.sparkSession)
+    table = reference_counts(docs, text, lang)
+    most = table.orderBy(F.desc("words"), "lang").limit(limits.max_references + 1).collect()
+    common = Judge({r["lang"]: frequencies(r["counts"]) for r in most[: limits.max_references]}, limits)
+
+    def run(batches: Iterator[pa.RecordBatch], rule=common, others=()) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            texts = Texts(part.column(text))
+            texts.words()
+            yield put(part, rule(texts, part.column(lang).cast(pa.string()).to_pylist(), (o.value for o in others)))
+
+    if len(most) <= limits.max_references:
+        return docs.mapInArrow(run, schema)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            langs = part.column(lang).cast(pa.string())
+            first = {x: i for i, x in enumerate(langs.to_pylist())}
+            own = part.column("_counts").take(pa.array(list(first.values()), pa.int64())).to_pylist()
+            rule = Judge({x: frequencies(c) for x, c in zip(first, own)}, limits)
+            yield from run(iter([part]), rule)
+
+    label = F.coalesce(F.col(lang).cast("string"), F.lit(""))
+    there = label.isin(list(common.at))
+    # neither the labels with most words nor documents without a label are in the join, so no key has a large share of it
+    rest = docs.where(~there & (label != "")).withColumn("_label", label).join(table.select(F.col("lang").alias("_label"), F.col("counts").alias("_counts")), "_label", "left")
+    blocks = -(-table.count() // limits.block_references)
+    nearest = []
+    for b in range(blocks):
+        block = table.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).toLocalIterator()
+        nearest.append(docs.sparkSession.sparkContext.broadcast(Judge({r["lang"]: frequencies(r["counts"]) for r in block}, limits)))
+    none = Judge({}, limits)
+    own = rest.where("_counts is not null").mapInArrow(joined, schema)
+    without = rest.where("_counts is null").select(*docs.columns).unionByName(docs.where(label == "")).mapInArrow(lambda batches: run(batches, none, nearest), schema)
+    return docs.where(there).mapInArrow(run, schema).unionByName(own).unionByName(without)
+
+
+def judge(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rules' counts, distances and verdict of each document.
 
     Null and empty texts have no words and fail the base rule.  Distances are
     null where the text is shorter than the guard or there is no reference; a
     null distance rejects nothing.  Every input row gives one row.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    rule = Judge(known, limits)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     names = ["doc_id", *counts, "base_failed", "kept", "class_distance", "word_distance"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            texts = Texts(part.column(1))
-            texts.words()
-            c = rule(texts, part.column(2).to_pylist())
-            columns = [pa.array(c[k].astype(np.int64)) for k in counts] + [pa.array(c["base_failed"]), pa.array(c["kept"])] + [pa.array(c[k], from_pandas=True) for k in names[-2:]]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
+    def put(part: pa.RecordBatch, c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(c[k].astype(np.int64)) for k in counts] + [pa.array(c["base_failed"]), pa.array(c["kept"])] + [pa.array(c[k], from_pandas=True) for k in names[-2:]]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
 
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in counts) + ", base_failed boolean, kept boolean, class_distance double, word_distance double")
+    schema = "doc_id long, " + ", ".join(f"{k} long" for k in counts) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
+    return _judged(rows, limits, "text", "lang", put, schema)
 
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    rule = Judge(references(docs, text, lang, limits), limits)
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            texts = Texts(part.column(text))
-            texts.words()
-            yield part.filter(pa.array(rule(texts, part.column(lang).cast(pa.string()).to_pylist())["kept"]))
-
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return _judged(docs, limits, text, lang, lambda part, c: part.select(names).filter(pa.array(c["kept"])), docs.schema)
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Measure the references over all documents, then judge each of them."""
-    return judge(docs, references(docs, limits=limits), limits)
+    return judge(docs, limits)

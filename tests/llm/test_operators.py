@@ -44,6 +44,21 @@ def test_quality_rules(docs, empty):
     assert all(r["kept"] is False for r in quality_rules.quality_rules(docs).collect() if r["base_failed"])
 
 
+@pytest.mark.parametrize("blocks", [4096, 2])
+def test_every_label_has_a_reference(spark, blocks):
+    """References in the table and in memory give the same distances, also for documents without a usable label."""
+    rows = [(k, data.prose(k, 150) + f" {k % 7}" * (k % 7), f"l{k % 7}" if k % 5 else (None, "")[k % 2]) for k in range(70)] + [(70, None, "l9"), (71, data.prose(71, 90), "l8"), (None, "a b", "l8")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = quality_rules.quality_rules(docs).collect()
+    for most in (1, 3, 0):
+        limits = quality_rules.Limits(max_references=most, block_references=blocks)
+        got = quality_rules.quality_rules(docs, limits).collect()
+        order = lambda x: (x["doc_id"] is None, x["doc_id"])
+        assert sorted(got, key=order) == sorted(want, key=order)
+        assert sorted(quality_rules.kept_documents(docs, limits).collect()) == sorted(quality_rules.kept_documents(docs).collect())
+    assert len({x["class_distance"] for x in want}) > 60
+
+
 def test_js_distance():
     p = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]])
     assert quality_rules.js_distance(p, np.array([0.5, 0.5, 0.0])).tolist()[0] == 0
