@@ -338,16 +338,18 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id"
     repeated rows and ids are linked like others of equal text, and of rows with
     one id and one text the kept ones are all kept.  Null ids come after others.
     """
-    return _components(docs, rule, doc_id, text).drop("check")
+    return _components(docs, rule, doc_id, text).drop("check", "stays")
 
 
 def _components(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
+    """near_duplicates with each row's checksum, and whether its id and text are the ones that stay of its component (``stays``)."""
     spark = docs.sparkSession
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "check")
     features = checkpoint(signatures(docs, rule, doc_id, text))
     classes = checkpoint(
         features.where("set_key is not null")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
+        .agg(F.min("doc_id").alias("first_id"), F.min(place).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
         .withColumn("class", F.monotonically_increasing_id())
     )
     bands, wide = rule.registers // rule.rows, 2 * rule.rows
@@ -364,25 +366,26 @@ def _components(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFram
     small_batches(spark)
     proven = in_blocks(_with_sets(texts, rule), "component", "size", "class", rule.block).mapInArrow(_edges_of(_verified(rule), "component", "class"), "u long, v long")
     linked = connected_components(proven).withColumnRenamed("node", "class")
-    first = linked.join(classes.select("class", "first_id"), "class").groupBy("component").agg(F.min("first_id").alias("_least"))
-    named = classes.select("class", "set_key", "first_id").join(linked.join(first, "component").select("class", "_least"), "class", "left")
-    named = named.select(F.col("set_key").alias("_key"), F.coalesce("_least", "first_id").alias("_component"))
+    first = linked.join(classes.select("class", "first_id", "first"), "class").groupBy("component").agg(F.min("first_id").alias("_least"), F.min("first").alias("_first"))
+    named = classes.select("class", "set_key", "first_id", "first").join(linked.join(first, "component").select("class", "_least", "_first"), "class", "left")
+    named = named.select(F.col("set_key").alias("_key"), F.coalesce("_least", "first_id").alias("_component"), F.coalesce("_first", "first").alias("_stays"))
     joined = features.join(named, features["set_key"] == named["_key"], "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return joined.select("doc_id", "check", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    stays = F.col("set_key").isNull() | place.eqNullSafe(F.col("_stays"))
+    return joined.select("doc_id", "check", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), stays.alias("stays"))
 
 
 def without_near_duplicates(docs: DataFrame, rule: Rule = Rule(percent=80, rows=4), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the least id of each group, with all its columns.
 
-    Rows of one id and one text are one document, of which one row stays.  Near
-    duplicates that share an id, or have none, are not told apart and all stay.
-    Texts without words are no duplicates of others.
+    Rows of one id and one text are one document, of which one row stays.  Of
+    near duplicates that share the least id, or have none, the one with the least
+    checksum stays.  Texts without words are no duplicates of others.
     """
     names = docs.columns
     key = lambda i, check: F.concat_ws("/", F.coalesce(i.cast("string"), F.lit("-")), check.cast("string"))
     rows = docs.select(F.struct(*names).alias("row"), key(F.col(doc_id).cast("long"), _check(text)).alias("_key"))
-    gone = _components(docs, rule, doc_id, text).where("not kept").select(key(F.col("doc_id"), F.col("check")).alias("_key")).distinct()
+    gone = _components(docs, rule, doc_id, text).where("not stays").select(key(F.col("doc_id"), F.col("check")).alias("_key")).distinct()
     # one key for the join and the rows that repeat: texts are shuffled once
     stay = rows.join(gone, "_key", "left_anti").dropDuplicates(["_key"])
     return stay.select(*[F.col("row").getField(n).alias(n) for n in names])

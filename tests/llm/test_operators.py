@@ -288,6 +288,19 @@ def test_near_duplicates_of_prose(spark):
     assert sorted(x["doc_id"] for x in left) == sorted(set(want))
 
 
+def test_one_of_near_duplicates_stays_whatever_their_ids(spark):
+    def near(k):
+        w = data.prose(k, 150).split()
+        return [" ".join(w[:40] + [f"new{i}"] + w[41:]) for i in range(4)]
+
+    groups = {500: [7] * 4, 501: [None] * 4, 502: [7, 8, None, 7], 503: [9, None, None, 8], 504: [None] * 4}
+    rows = [(i, t, g) for g, ids in groups.items() for i, t in zip(ids, near(g))] + [(None, data.prose(600, 80), 600), (7, data.prose(601, 80), 601), (None, None, 602), (7, " ", 603)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, g long").repartition(3)
+    left = minhash.without_near_duplicates(table, minhash.Rule(percent=80, rows=4)).collect()
+    assert sorted((x["g"], x["doc_id"]) for x in left if x["g"] not in (501, 504, 600, 602)) == [(500, 7), (502, 7), (503, 8), (601, 7), (603, 7)]
+    assert sorted(x["g"] for x in left if x["doc_id"] is None) == [501, 504, 600, 602]
+
+
 def test_estimate_is_close():
     r = np.random.default_rng(0)
     a, b = r.integers(0, 1 << 63, 1000).astype(np.uint64), r.integers(0, 1 << 63, 250).astype(np.uint64)
