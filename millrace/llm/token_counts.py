@@ -7,14 +7,14 @@ mergeable pair left is finished.  Its surviving symbols are its tokens.
 
 Only distinct words of a slice are looked at: the tokenizer's pre-tokenizer
 never joins text across white space, so a document's count is the sum of its
-words' counts.  Strings of special tokens are found in the raw text first, as
+words' counts.  ASCII words are cut by the pattern in the vocabulary file, others
+by the library's own normalizer and pre-tokenizer, whose Unicode tables decide.  Strings of special tokens are found in the raw text first, as
 the library does by default, and count as one token each.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .textbatch import Texts, seg_sum, slices, small_batches
 
@@ -69,11 +70,17 @@ class RankMerger:
         self.special = regex.compile(pattern) if pattern else None
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        self.byte_of = {c: b for b, c in enumerate(chars)}
         self.known: dict[int, int] = {}
 
-    def normal(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return text.lower() if text.isascii() else "".join(c.lower() for c in text)
+    def cut(self, text: str) -> list[bytes]:
+        """Pre-tokens of a text without special tokens."""
+        if text.isascii():
+            return [p.encode() for p in self.pattern.findall(text.lower())]
+        normal = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [bytes([self.byte_of[c] for c in p]) for p, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
 
     def pieces(self, text: str) -> tuple[list[bytes], int]:
         """Pre-tokens of a text, and how many special tokens are in it."""
@@ -81,7 +88,7 @@ class RankMerger:
         if self.special is not None and "<" in text:
             parts = self.special.split(text)
             found = len(parts) - 1
-        return [p.encode() for part in parts for p in self.pattern.findall(self.normal(part))], found
+        return [p for part in parts if part for p in self.cut(part)], found
 
     def survivors(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols left of each piece after all merges."""
