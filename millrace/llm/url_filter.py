@@ -2,18 +2,18 @@
 
 One pass of the automaton over a lower-cased url gives all occurrences of all
 terms; an occurrence counts if no letter or digit adjoins it.  One strict term
-rejects, and so do soft terms whose distinct weights reach the limit.  Host and
-path rules come first; the longest fitting rule decides.
+rejects, and so do distinct soft terms whose weights together reach the limit,
+which no single one does.  Host and path rules come first; the longest fitting
+rule decides.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import small_batches
@@ -22,49 +22,37 @@ from .textbatch import small_batches
 STRICT_TERMS = ("adult", "adult-x", "bet365", "camgirls", "casino", "escort", "gambling", "hardcore", "hentai", "milf", "nsfw", "nude", "poker", "porn", "porno", "pornhub", "sex", "sexcam", "slots", "torrent", "viagra", "warez", "webcamsex", "xvideos", "xxx")
 #: Terms of which several distinct ones together reject a url, and their weights.
 SOFT_TERMS = {
-    "ad": 1, "ads": 1, "adserver": 1, "affiliate": 1, "banner": 1, "bet": 1, "bets": 1, "bonus": 1, "buy": 1, "cam": 1, "cheap": 1, "click": 1, "coupon": 1, "crack": 1,
-    "dating": 1, "deal": 1, "deals": 1, "download": 1, "escorts": 1, "farm": 1, "free": 1, "girls": 1, "hot": 1, "keygen": 1, "live": 1, "loan": 1, "loans": 1, "pills": 1,
-    "pixel": 1, "popup": 1, "promo": 1, "redirect": 1, "sale": 1, "sexy": 1, "spam": 1, "sponsor": 1, "track": 1, "tracker": 1, "tracking": 1, "win": 1,
+    "adserver": 2, "bet": 2, "bets": 2, "cam": 2, "crack": 2, "dating": 2, "escorts": 2, "girls": 2, "keygen": 2, "pills": 2, "popup": 2, "sexy": 2, "spam": 2, "tracker": 2,
+    "ad": 1.5, "ads": 1.5, "affiliate": 1.5, "banner": 1.5, "bonus": 1.5, "coupon": 1.5, "farm": 1.5, "loan": 1.5, "loans": 1.5, "pixel": 1.5, "promo": 1.5, "redirect": 1.5, "sponsor": 1.5, "track": 1.5, "tracking": 1.5, "win": 1.5,
+    "buy": 1, "cheap": 1, "click": 1, "deal": 1, "deals": 1, "download": 1, "free": 1, "hot": 1, "live": 1, "sale": 1,
 }
-SOFT_LIMIT = 2
+#: Two terms of middle weight reach it, two light ones do not.
+SOFT_LIMIT = 2.5
 
 Rule = tuple[str, str, str]
 
-_HEAD = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def host_and_path(url: str | None) -> tuple[str, str]:
-    """Host (A-Z lower-cased) and path of a url; both empty without ``://``."""
-    m = _HEAD.search(url) if url else None
-    return (m[1].translate(_UPPER), m[2]) if m else ("", "")
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path of a url; both empty without ``://`` and for null."""
+    part = lambda k: F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
+    return F.translate(part(1), *_LETTERS), part(2)
 
 
-class RuleBook:
-    """Host and path rules; a rule fits its host and that host's subdomains."""
-
-    def __init__(self, rules: Sequence[Rule]):
-        self.by_host: dict[str, list[tuple[str, str]]] = {}
-        for verdict, host, path in rules:
-            self.by_host.setdefault(host, []).append((path, verdict))
-
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """The longest fitting rule and its verdict."""
-        best, at = None, 0
-        while host:
-            name = host[at:]
-            for prefix, verdict in self.by_host.get(name, ()):
-                if path.startswith(prefix) and (best is None or len(name) + len(prefix) > len(best[0])):
-                    best = (name + prefix, verdict)
-            at = host.find(".", at) + 1
-            if not at:
-                break
-        return best
+def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
+    """The longest fitting rule and its verdict, null without one; a rule fits its host and that host's subdomains."""
+    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for told, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
+        name, verdict = F.when(fits, h + p).otherwise(name), F.when(fits, told).otherwise(verdict)
+    return name, verdict
 
 
 @lru_cache(maxsize=8)
-def automaton(strict: tuple[str, ...], soft: tuple[tuple[str, int], ...]):
+def automaton(strict: tuple[str, ...], soft: tuple[tuple[str, float], ...]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -76,7 +64,7 @@ def automaton(strict: tuple[str, ...], soft: tuple[tuple[str, int], ...]):
     return a
 
 
-def vocabulary_hits(url: str | None, auto) -> tuple[int, dict[str, int]]:
+def vocabulary_hits(url: str | None, auto) -> tuple[int, dict[str, float]]:
     """Number of strict occurrences, and the weight of each distinct soft term."""
     text = (url or "").translate(_UPPER)
     strict, soft = 0, {}
@@ -95,8 +83,8 @@ def filter_urls(
     pages: DataFrame,
     rules: Sequence[Rule] = (),
     strict: Sequence[str] = STRICT_TERMS,
-    soft: Mapping[str, int] = SOFT_TERMS,
-    soft_limit: int = SOFT_LIMIT,
+    soft: Mapping[str, float] = SOFT_TERMS,
+    soft_limit: float = SOFT_LIMIT,
     page_id: str = "page_id",
     url: str = "url",
 ) -> DataFrame:
@@ -104,35 +92,31 @@ def filter_urls(
 
     Rules are (verdict, host, path) with a path that starts with ``/``.  A null
     or empty url has no host, no path, no hit, and is allowed.  Every input row
-    gives one row.
+    gives one row.  Hosts, paths and rules are found in generated code; a url that
+    repeats in a batch goes through the automaton once.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
+    host, path = host_and_path(F.col("url"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url")).withColumns({"host": host, "path": path})
+    name, told = fitting_rule(F.col("host"), F.col("path"), rules)
+    rows = rows.withColumns({"rule": name, "told": told})
     terms = (tuple(strict), tuple(soft.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto, book = automaton(*terms), RuleBook(rules)
+        auto = automaton(*terms)
         for b in batches:
-            hosts, paths, named, verdicts, n_strict, n_soft = [], [], [], [], [], []
-            for u in b.column(1).to_pylist():
-                host, path = host_and_path(u)
-                hit = book.find(host, path)
-                hard, light = vocabulary_hits(u, auto)
-                hosts.append(host)
-                paths.append(path)
-                named.append(hit[0] if hit else None)
-                verdicts.append(hit[1] if hit else "block" if hard or sum(light.values()) >= soft_limit else "allow")
-                n_strict.append(hard)
-                n_soft.append(len(light))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(named, pa.string()), pa.array(verdicts, pa.string()), pa.array(n_strict, pa.int64()), pa.array(n_soft, pa.int64())],
-                ["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_terms"],
-            )
+            urls = b.column("url").dictionary_encode()
+            hits = [vocabulary_hits(u, auto) for u in urls.dictionary.to_pylist()] + [(0, {})]
+            at = [len(hits) - 1 if i is None else i for i in urls.indices.to_pylist()]
+            bad = [bool(hard) or sum(light.values()) >= soft_limit for hard, light in hits]
+            verdicts = [v or ("block" if bad[i] else "allow") for v, i in zip(b.column("told").to_pylist(), at)]
+            counts = [pa.array([f(hits[i]) for i in at], pa.int64()) for f in (lambda x: x[0], lambda x: len(x[1]))]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in ("page_id", "host", "path", "rule")], pa.array(verdicts, pa.string()), *counts], ["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_terms"])
 
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, strict_hits long, soft_terms long")
 
 
-def verdict_sql(table: str, rules: Sequence[Rule], strict: Sequence[str] = STRICT_TERMS, soft: Mapping[str, int] = SOFT_TERMS, soft_limit: int = SOFT_LIMIT) -> str:
+def verdict_sql(table: str, rules: Sequence[Rule], strict: Sequence[str] = STRICT_TERMS, soft: Mapping[str, float] = SOFT_TERMS, soft_limit: float = SOFT_LIMIT) -> str:
     """The query of :func:`filter_urls` as SQL (page_id, host, path, rule, verdict)."""
     whole = "(^|[^a-z0-9]){}([^a-z0-9]|$)"
     hard = f"regexp_matches(low, '{whole.format('(' + '|'.join(strict) + ')')}')"
