@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import _GOLD, Texts, mix, seg_sum, slices, small_batches
+from .textbatch import _GOLD, Texts, checkpoint, mix, seg_sum, slices, small_batches
 
 _U = np.uint64
 _WORD, _PAIR, _END = _U(0x632BE59BD9B4E019), _U(0x8CB92BA72F3D8DD7), 0
@@ -30,9 +30,16 @@ _WORD, _PAIR, _END = _U(0x632BE59BD9B4E019), _U(0x8CB92BA72F3D8DD7), 0
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows``: bound of the labelled sample; it fits the driver whatever the table's size."""
+    """``max_rows`` and ``max_features``: bounds of the labelled sample; it fits the driver whatever the table's size and the texts' lengths.
+
+    ``stop_fold``: one labelled row in so many is kept from the gradients and decides when to stop.
+    """
 
     max_rows: int = 4000
+    max_features: int = 12_000_000
+    stop_fold: int = 10
+    patience: int = 3
+    batch: int = 8
     bucket_bits: int = 18
     dim: int = 12
     shortest: int = 3
@@ -133,59 +140,117 @@ class Features:
             yield d, share / share.sum()
 
 
+class _Batch:
+    """Bags of features as one sparse matrix, with the order in which its entries go by feature."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        size = np.array([len(ids) for ids, _ in bags], np.int64)
+        self.labels = labels
+        self.first = np.cumsum(size) - size
+        self.owner = np.repeat(np.arange(len(bags)), size)
+        self.share = np.concatenate([w for _, w in bags]).astype(np.float32)[:, None]
+        ids = np.concatenate([i for i, _ in bags])
+        self.order = np.argsort(ids, kind="stable")
+        sorted_ids = ids[self.order]
+        self.starts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+        self.features = sorted_ids[self.starts]
+        self.ids = ids
+        self.scale = np.sqrt(size).astype(np.float32)[:, None]
+
+    def forward(self, vectors: np.ndarray, layer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Average vectors, and probabilities of the classes."""
+        hidden = np.add.reduceat(self.share * vectors[self.ids], self.first, axis=0)
+        logits = hidden @ layer.T
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        return hidden, p / p.sum(1, keepdims=True)
+
+    def step(self, vectors: np.ndarray, layer: np.ndarray, rate: float) -> None:
+        """One step down the gradient of the batch's cross-entropy, in place."""
+        hidden, p = self.forward(vectors, layer)
+        p[np.arange(len(p)), self.labels] -= 1
+        back = (rate * self.scale) * (p @ layer)
+        layer -= rate * (p.T @ hidden)
+        spread = self.share * back[self.owner]
+        vectors[self.features] -= np.add.reduceat(spread[self.order], self.starts, axis=0)
+
+    def loss(self, vectors: np.ndarray, layer: np.ndarray) -> float:
+        p = self.forward(vectors, layer)[1]
+        return float(-np.log(np.maximum(p[np.arange(len(p)), self.labels], 1e-12)).sum())
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings = Settings()) -> np.ndarray:
     """Class scores of every bucket: learned vectors times the learned softmax layer.
 
     The gradient of an average over a document's features is spread by their
     shares and scaled up by the square root of their number, so long and short
-    documents move their vectors by like amounts.
+    documents move their vectors by like amounts.  Training ends early when the
+    fold kept for it has not improved for ``patience`` rounds; the best round counts.
     """
     random = np.random.default_rng(s.seed)
     vectors = (random.random((1 << s.bucket_bits, s.dim), np.float32) - 0.5) / s.dim
     layer = np.zeros((s.classes, s.dim), np.float32)
-    steps, step = max(1, s.rounds * len(bags)), 0
+    order = random.permutation(len(bags))
+    kept = order[: len(bags) // s.stop_fold]
+    used = order[len(kept) :]
+    made = lambda at: [_Batch([bags[i] for i in at[k : k + s.batch]], labels[at[k : k + s.batch]]) for k in range(0, len(at), s.batch)]
+    batches, judged = made(used), made(kept)
+    best, since = (np.inf, vectors @ layer.T), 0
+    steps, step = max(1, s.rounds * len(batches)), 0
     for _ in range(s.rounds):
-        for i in random.permutation(len(bags)):
-            ids, share = bags[i]
-            rate = s.rate * (1 - step / steps)
+        for i in random.permutation(len(batches)):
+            batches[i].step(vectors, layer, s.rate * (1 - step / steps))
             step += 1
-            hidden = share @ vectors[ids]
-            logits = layer @ hidden
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            back = p @ layer
-            layer -= rate * np.outer(p, hidden)
-            vectors[ids] -= (rate * np.sqrt(len(ids))) * np.outer(share, back)
-    return (vectors @ layer.T).astype(np.float64)
+        loss = sum(b.loss(vectors, layer) for b in judged)
+        if not judged or loss < best[0]:
+            best, since = (loss, vectors @ layer.T), 0
+        elif (since := since + 1) == s.patience:
+            break
+    return best[1].astype(np.float64)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings, doc_id: str, text: str, label: str) -> tuple[list, np.ndarray]:
-    """Feature bags of at most ``max_rows`` labelled rows, chosen by the hash of their id."""
+    """Feature bags of at most ``max_rows`` labelled ids and ``max_features`` features, chosen by the hash of their id.
+
+    An id with several labels counts with the greatest one, an id with several
+    texts with the least one.
+    """
+    order = F.xxhash64("doc_id")
     chosen = (
         labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").between(0, s.classes - 1))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(order, "doc_id")
         .limit(s.max_rows)
     )
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    body = F.min(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = Texts(part.column(1))
+            texts = Texts(part.column("text"))
             texts.words()
             bags = list(Features(texts, s).bags())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array([d.astype("<i4").tobytes() for d, _ in bags], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in bags], pa.binary())],
-                ["doc_id", "label", "ids", "shares"],
-            )
-
-    got = rows.mapInArrow(run, "doc_id long, label int, ids binary, shares binary").toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["ids"][i], got["shares"][i]))[: s.max_rows]
-    bags = [(np.frombuffer(got["ids"][i], "<i4"), np.frombuffer(got["shares"][i], "<f4")) for i in order]
-    return bags, np.array([got["label"][i] for i in order], np.int64)
+                [
+                    part.column("doc_id"), part.column("label"), pa.array([len(d) for d, _ in bags], pa.int64()),
+                    pa.array([d.astype("<i4").tobytes() for d, _ in bags], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in bags], pa.binary()),
+                ],
+                ["doc_id", "label", "features", "ids", "shares"],
+            )
+
+    made = checkpoint(rows.mapInArrow(run, "doc_id long, label int, features long, ids binary, shares binary"))
+    sizes = made.select(order.alias("h"), "doc_id", "features").collect()  # at most max_rows small rows
+    room, fits = s.max_features, []
+    for r in sorted(sizes):
+        if r["features"] > room:
+            break
+        room -= r["features"]
+        fits.append(r["doc_id"])
+    got = made.where(F.col("doc_id").isin(fits)).toArrow().to_pydict() if len(fits) < len(sizes) else made.toArrow().to_pydict()
+    at = sorted(range(len(got["doc_id"])), key=lambda i: got["doc_id"][i])
+    bags = [(np.frombuffer(got["ids"][i], "<i4"), np.frombuffer(got["shares"][i], "<f4")) for i in at]
+    return bags, np.array([got["label"][i] for i in at], np.int64)
 
 
 def score_quality(
