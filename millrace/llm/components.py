@@ -12,6 +12,8 @@ from .textbatch import checkpoint
 
 #: Edges a task contracts at once.
 CONTRACT_ROWS = 200_000
+#: So few edges that one task contracts all of them.
+FEW_EDGES = 1 << 14
 
 
 def forest(edges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -49,33 +51,40 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
+def _is_star(edges: DataFrame) -> tuple[int, bool]:
+    """Number of edges, and whether each node either has one lesser neighbour and no greater one, or none lesser."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    told = nodes.agg(F.sum("up").alias("n"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("bad")).first()
+    return told["n"] or 0, not told["bad"]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (u long, v long); component is its least node.
 
     Tasks first contract the edges they hold.  Then large-star and small-star
-    steps alternate until nothing changes; each is an aggregation and a join, so
-    a node with very many neighbours is never gathered.  Loops and repeated
-    edges are allowed; nodes without an edge to another node are not listed.
+    steps alternate until all are stars; each is an aggregation and a join, so
+    a node with very many neighbours is never gathered.  A few edges
+    (``FEW_EDGES``) are contracted in one task.  Loops and repeated edges are
+    allowed; nodes without an edge to another node are not listed.
     """
     schema = "u long, v long"
     now = checkpoint(edges.where("u != v").select("u", "v").mapInArrow(_contract, schema).distinct())
-    state = None
     while True:
-        signature = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if signature == state or not signature[0]:
+        n, star = _is_star(now)
+        if star:
+            break
+        if n <= FEW_EDGES:
+            now = checkpoint(now.coalesce(1).mapInArrow(_contract, schema))
             break
-        state = signature
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # aggregated apart from the join, so that the join's own shuffle can be split where a node has many neighbours
         least = checkpoint(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
         # every edge now leads from a node to a lesser one
-        large = checkpoint(large)
+        large = checkpoint(large.where("u != v").distinct())
         low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         now = checkpoint(small.select("e.u", "e.v").where("u != v").distinct())
-    if state is None:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -9,10 +9,12 @@ values, and classes that may be similar enough are joined to loose components.
 Each loose component is then verified on full sets, and the verified links give
 the components.
 
-Nothing emits the pairs of a group.  A task compares the members of a group (or
-of two blocks of a large group) in arrays and emits a spanning forest of what it
-found, at most one edge a member.  Groups beyond a block's size are cut into
-blocks, each two of which meet in a task of their own.
+Nothing emits the pairs of a group.  A task compares the members of a group in
+arrays and emits a spanning forest of what it found, at most one edge a member.
+Members of a group beyond a block's size are first compared with a few leaders
+of it, which takes rows in proportion to the group.  Only those that are then
+still apart from most of the group are dealt to blocks, and each of these blocks
+meets every other one; pairs that are connected already are not compared.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .textbatch import _GOLD, Texts, checkpoint, mix, shuffle_width, slices, small_batches, windows
+from .textbatch import _GOLD, Texts, checkpoint, grouped, mix, shuffle_width, slices, small_batches, windows
 
 _U = np.uint64
 _S1, _S2, _S3, _DOC = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3), _U(0xD6E8FEB86659FD93)
@@ -178,60 +180,51 @@ def signatures(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
     return rows.mapInArrow(run, "doc_id long, check long, n_shingles long, set_key binary, registers binary")
 
 
-# -- groups in blocks ---------------------------------------------------------
+# -- groups -------------------------------------------------------------------
 
+_EDGES = "u long, v long"
 
-def in_blocks(members: DataFrame, group: str, size: str, item: str, block: int) -> DataFrame:
-    """Deal the members of each group to blocks and send them to a task for each two blocks.
 
-    Adds _low and _high (the blocks that meet) and _block (a member's own).
-    A group within one block is sent once.
+def _together(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(shuffle_width(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def in_blocks(rest: DataFrame, group: str, item: str, block: int) -> DataFrame:
+    """Deal the members of each group to blocks and send them to a task for each two blocks of which one is apart.
+
+    ``rest`` has _apart (whether a member is apart from most of its group),
+    _n_apart and size (how many are, of how many).  Adds _low and _high (the
+    blocks that meet) and _block (a member's own).
+    """
+    far = F.ceil(F.col("_n_apart") / block).cast("int")
+    near = F.ceil((F.col("size") - F.col("_n_apart")) / block).cast("int")
+    dealt = rest.withColumns({"_far": far, "_near": near})
+    own = F.when(F.col("_apart"), F.pmod(F.xxhash64(item), F.col("_far"))).otherwise(F.col("_far") + F.pmod(F.xxhash64(item), F.col("_near"))).cast("int")
+    last = F.when(F.col("_apart"), F.col("_far") + F.col("_near")).otherwise(F.col("_far")) - 1
+    each = dealt.withColumn("_block", own).withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    met = each.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
+    return _together(met.drop("_far", "_near", "_other", "_apart", "_n_apart", "size"), group, "_low", "_high")
+
+
+def _edges_of(linked: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], keys: list[str], item: str):
+    """A task that emits a spanning forest of each group's links.
+
+    ``linked`` gets rows, the groups' bounds, each row's block and each row's
+    label; rows of one block (of a pair of different ones) or of one label are
+    not compared.
     """
-    number = F.ceil(F.col(size) / block).cast("int")
-    dealt = members.withColumn("_n", number).withColumn("_block", F.pmod(F.xxhash64(item), F.col("_n")).cast("int"))
-    each = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    met = each.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other")).drop("_n", "_other")
-    keys = [group, "_low", "_high"]
-    return met.repartition(shuffle_width(members.sparkSession), *keys).sortWithinPartitions(*keys)
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, most_bytes: int = 48 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of sorted batches, with the groups' bounds."""
-    held: list[pa.RecordBatch] = []
-    n = size = 0
-
-    def cut(table: pa.Table) -> np.ndarray:
-        change = np.zeros(table.num_rows, bool)
-        change[:1] = True
-        for k in keys:
-            c = table.column(k).to_numpy()
-            change[1:] |= c[1:] != c[:-1]
-        return np.flatnonzero(change)
-
-    for b in batches:
-        held.append(b)
-        n, size = n + b.num_rows, size + b.nbytes
-        if n >= rows or size >= most_bytes:
-            table = pa.Table.from_batches(held)
-            at = cut(table)
-            if len(at) > 1:
-                yield table.slice(0, at[-1]), at
-                held = table.slice(at[-1]).combine_chunks().to_batches()
-                n, size = table.num_rows - int(at[-1]), sum(x.nbytes for x in held)
-    if held and n:
-        table = pa.Table.from_batches(held)
-        at = cut(table)
-        yield table, np.append(at, table.num_rows)
-
-
-def _edges_of(linked: Callable[[pa.Table, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], group: str, item: str):
-    """A task that emits a spanning forest of each group's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in _grouped(batches, [group, "_low", "_high"], 20_000):
+        for table, bounds in grouped(batches, keys, 20_000):
             name = table.column(item).to_numpy()
+            n = table.num_rows
+            label = table.column("_label").to_numpy() if "_label" in table.column_names else np.arange(n)
+            side = np.arange(n)
+            if "_block" in table.column_names:
+                own, low, high = (table.column(k).to_numpy() for k in ("_block", "_low", "_high"))
+                side = np.where(low == high, side, -1 - own)
             found: list[tuple[int, int]] = []
-            for a, b in linked(table, bounds):
+            for a, b in linked(table, bounds, side, label):
                 found += forest(zip(name[a].tolist(), name[b].tolist()))
             stars = set(found)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([y for _, y in stars], pa.int64())], ["u", "v"])
@@ -239,17 +232,25 @@ def _edges_of(linked: Callable[[pa.Table, np.ndarray], Iterator[tuple[np.ndarray
     return run
 
 
-def _similar_registers(rule: Rule):
-    def linked(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        r = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, rule.registers)
-        n = table.column("n_shingles").to_numpy()
-        own, low, high = (table.column(k).to_numpy() for k in ("_block", "_low", "_high"))
+def _joined(label: np.ndarray, i: int, hits: np.ndarray) -> None:
+    """Give the rows ``hits``, and all that have their labels, the label of row i."""
+    if len(hits):
+        label[np.isin(label, label[hits])] = label[i]
+
+
+def _registers(column: pa.ChunkedArray, rule: Rule) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, rule.registers)
 
-        def passing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            ok = estimate(r[a], r[b], n[a], n[b]) >= least_estimate(rule, n[a], n[b])
-            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            return ok & (100 * small >= rule.percent * large)
 
+def may_link(rule: Rule, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sets of so many shingles and with such registers may be similar enough."""
+    ok = estimate(a, b, na, nb) >= least_estimate(rule, na, nb)
+    return ok & (100 * np.minimum(na, nb) >= rule.percent * np.maximum(na, nb))
+
+
+def _similar_registers(rule: Rule):
+    def linked(table: pa.Table, bounds: np.ndarray, side: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        r, n = _registers(table.column("registers"), rule), table.column("n_shingles").to_numpy()
         sizes = np.diff(bounds)
         for size in np.unique(sizes[(sizes > 1) & (sizes <= 8)]):  # small groups: all of one size at once
             begin = bounds[:-1][sizes == size]
@@ -257,31 +258,32 @@ def _similar_registers(rule: Rule):
             a, b = (begin[:, None] + i).ravel(), (begin[:, None] + j).ravel()
             for k in range(0, len(a), 50_000):
                 x, y = a[k : k + 50_000], b[k : k + 50_000]
-                meet = (own[x] != own[y]) | (low[x] == high[x])
+                meet = (side[x] != side[y]) & (label[x] != label[y])
                 x, y = x[meet], y[meet]
-                ok = passing(x, y)
+                ok = may_link(rule, r[x], r[y], n[x], n[y])
                 if ok.any():
                     yield x[ok], y[ok]
         for begin, end in zip(bounds[:-1][sizes > 8], bounds[1:][sizes > 8]):
-            rows = np.arange(begin, end)
+            mine = np.unique(label[begin:end], return_inverse=True)[1]
             got_a, got_b = [], []
-            for i in rows[:-1]:
-                others = rows[i - begin + 1 :] if low[i] == high[i] else rows[i - begin + 1 :][own[i + 1 : end] != own[i]]
-                a = np.full(len(others), i)
-                ok = passing(a, others)
-                got_a.append(a[ok])
-                got_b.append(others[ok])
-            yield np.concatenate(got_a), np.concatenate(got_b)
+            for i in range(begin, end - 1):
+                others = np.flatnonzero((side[i + 1 : end] != side[i]) & (mine[i + 1 - begin :] != mine[i - begin])) + i + 1
+                if len(others):
+                    b = others[may_link(rule, r[i][None], r[others], n[i][None], n[others])]
+                    got_a.append(np.full(len(b), i))
+                    got_b.append(b)
+                    _joined(mine, i - begin, b - begin)
+            if got_a:
+                yield np.concatenate(got_a), np.concatenate(got_b)
 
     return linked
 
 
 def _verified(rule: Rule):
-    def linked(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def linked(table: pa.Table, bounds: np.ndarray, side: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         import pandas as pd
 
         sets = table.column("shingles").to_pylist()
-        own, low, high = (table.column(k).to_numpy() for k in ("_block", "_low", "_high"))
         for begin, end in zip(bounds[:-1], bounds[1:]):
             if end - begin < 2:
                 continue
@@ -290,30 +292,99 @@ def _verified(rule: Rule):
             at = np.concatenate([[0], np.cumsum(n)])
             codes, known = pd.factorize(np.concatenate(parts))
             mark = np.zeros(len(known), bool)
+            mine, where = np.unique(label[begin:end], return_inverse=True)[1], side[begin:end]
             got_a, got_b = [], []
             for i in range(len(parts) - 1):
-                mine = codes[at[i] : at[i + 1]]
-                mark[mine] = True
-                rest = codes[at[i + 1] :]
-                shared = np.add.reduceat(mark[rest], at[i + 1 : -1] - at[i + 1], dtype=np.int64) if len(rest) else np.zeros(len(parts) - i - 1, np.int64)
-                mark[mine] = False
-                ok = 100 * shared >= rule.percent * (n[i] + n[i + 1 :] - shared)
-                if low[begin] != high[begin]:
-                    ok &= own[begin + i + 1 : end] != own[begin + i]
+                apart = (where[i + 1 :] != where[i]) & (mine[i + 1 :] != mine[i])
+                if not apart.any():
+                    continue
+                own = codes[at[i] : at[i + 1]]
+                mark[own] = True
+                shared = np.add.reduceat(mark[codes[at[i + 1] :]], at[i + 1 : -1] - at[i + 1], dtype=np.int64)
+                mark[own] = False
+                ok = apart & (100 * shared >= rule.percent * (n[i] + n[i + 1 :] - shared))
                 b = np.flatnonzero(ok) + i + 1
                 got_a.append(np.full(len(b), begin + i))
                 got_b.append(begin + b)
+                _joined(mine, i, b)
             if got_a:
                 yield np.concatenate(got_a), np.concatenate(got_b)
 
     return linked
 
 
+def _register_stars(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            ok = may_link(rule, _registers(t.column("registers"), rule), _registers(t.column("_registers"), rule), t.column("n_shingles").to_numpy(), t.column("_n_shingles").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("_leader")], ["u", "v"]).filter(pa.array(ok))
+
+    return run
+
+
+def _set_stars(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("shingles").to_pylist(), b.column("_shingles").to_pylist()):
+                shared = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
+                ok.append(100 * shared >= rule.percent * (len(x) // 8 + len(y) // 8 - shared))
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("_leader")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def linked_classes(members: Callable[[str], DataFrame], group: str, payload: list[str], linked, stars, rule: Rule) -> DataFrame:
+    """Connected components (node, component) of the links within groups.
+
+    ``members`` gives the rows (group, size, class, payload) that fit a
+    condition.  Groups of up to ``rule.block`` members are compared as a whole.
+    Larger ones are compared with four leaders each, in parts of ``rule.block``;
+    what is then not connected with most of its group is compared with all of
+    it, in pairs of blocks.
+    """
+    small = _together(members(f"size <= {rule.block}").drop("size"), group).mapInArrow(_edges_of(linked, [group], "class"), _EDGES)
+    large = members(f"size > {rule.block}")
+    parts = F.ceil(F.col("size") / rule.block).cast("int")
+    order = F.xxhash64(F.lit(3), "class")
+    ends = [F.min("class"), F.max("class"), F.min_by("class", order), F.max_by("class", order)]
+    leaders = checkpoint(large.select(group, "size", "class").groupBy(group, "size").agg(F.array_distinct(F.array(*ends)).alias("leaders")))
+    if leaders.isEmpty():
+        return connected_components(small)
+    named = leaders.select(group, "size", F.explode("leaders").alias("class")).join(large.drop("size"), [group, "class"])
+    copies = named.select(group, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), F.col("class").alias("_leader"), *[F.col(c).alias(f"_{c}") for c in payload])
+    dealt = large.withColumn("_part", F.pmod(F.xxhash64("class"), parts).cast("int"))
+    near = dealt.join(copies, [group, "_part"]).where(F.col("class") != F.col("_leader")).select("class", "_leader", *payload, *[f"_{c}" for c in payload])
+    found = connected_components(small.unionByName(near.mapInArrow(stars, _EDGES)))
+    labels = found.select(F.col("node").alias("class"), F.col("component").alias("_label"))
+    labelled = large.join(labels, "class", "left").withColumn("_label", F.coalesce("_label", "class"))
+    most = labelled.groupBy(group, "size", "_label").agg(F.count("*").alias("n"))
+    most = most.groupBy(group, "size").agg(F.max_by("_label", F.struct("n", "_label")).alias("_most"), (F.col("size") - F.max("n")).alias("_n_apart")).where("_n_apart > 0")
+    most = checkpoint(most)
+    if most.isEmpty():
+        return found
+    spread = most.select(group, "_most", "_n_apart", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    rest = labelled.withColumn("_part", F.pmod(F.xxhash64("class"), parts).cast("int")).join(spread, [group, "_part"]).drop("_part")
+    rest = rest.withColumn("_apart", F.col("_label") != F.col("_most")).drop("_most")
+    more = in_blocks(rest, group, "class", rule.block).mapInArrow(_edges_of(linked, [group, "_low", "_high"], "class"), _EDGES)
+    return connected_components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
 def _with_sets(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Full sets of shingles of (component, size, class, set_key, text) rows; rows whose text has another set are dropped."""
+    """Full sets of shingles of (component, size, class, set_key, text) rows, a class once for each part of a task; rows whose text has another set are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in slices(batches):
+            name = part.column("class").to_pylist()
+            new = []
+            for c in name:
+                new.append(c not in seen)
+                seen.add(c)
+            part = part.filter(pa.array(new))
+            if not part.num_rows:
+                continue
             texts = Texts(part.column("text"), lower=True)
             texts.words()
             s, doc = shingles(texts, rule.width)
@@ -355,18 +426,20 @@ def _components(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFram
     bands, wide = rule.registers // rule.rows, 2 * rule.rows
     hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * wide + 1, F.lit(wide))))
     banded = classes.select("class", F.explode(hashes).alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = banded.join(shared, "band").join(classes.select("class", "n_shingles", "registers"), "class")
-    loose = in_blocks(members, "band", "size", "class", rule.block).mapInArrow(_edges_of(_similar_registers(rule), "band", "class"), "u long, v long")
-    maybe = connected_components(loose)
-    sizes = maybe.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = maybe.join(sizes, "component").join(classes.select("class", "set_key", "first_id"), F.col("node") == F.col("class"))
-    source = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
-    texts = wanted.join(source, F.col("first_id").eqNullSafe(F.col("_id"))).select("component", "size", "class", "set_key", "text")
+    shared = checkpoint(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+    described = classes.select("class", "n_shingles", "registers")
+    met = lambda which: banded.join(shared.where(which), "band").join(described, "class")
+    maybe = linked_classes(met, "band", ["registers", "n_shingles"], _similar_registers(rule), _register_stars(rule), rule)
+    # aggregated apart from the joins, so that these can be split where a component is large
+    sizes = checkpoint(maybe.groupBy("component").agg(F.count("*").alias("size")))
+    named = classes.select("class", "set_key", F.col("first.doc_id").alias("_id"), F.col("first.check").alias("_check"))
+    wanted = maybe.join(sizes, "component").join(named, F.col("node") == F.col("class"))
+    source = docs.select(F.col(doc_id).cast("long").alias("_doc"), _check(text).alias("_sum"), F.col(text).alias("text"))
+    texts = wanted.join(source, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_check") == F.col("_sum"))).select("component", "size", "class", "set_key", "text")
     small_batches(spark)
-    proven = in_blocks(_with_sets(texts, rule), "component", "size", "class", rule.block).mapInArrow(_edges_of(_verified(rule), "component", "class"), "u long, v long")
-    linked = connected_components(proven).withColumnRenamed("node", "class")
-    first = linked.join(classes.select("class", "first_id", "first"), "class").groupBy("component").agg(F.min("first_id").alias("_least"), F.min("first").alias("_first"))
+    sets = checkpoint(_with_sets(texts, rule))
+    linked = linked_classes(sets.where, "component", ["shingles"], _verified(rule), _set_stars(rule), rule).withColumnRenamed("node", "class")
+    first = checkpoint(linked.join(classes.select("class", "first_id", "first"), "class").groupBy("component").agg(F.min("first_id").alias("_least"), F.min("first").alias("_first")))
     named = classes.select("class", "set_key", "first_id", "first").join(linked.join(first, "component").select("class", "_least", "_first"), "class", "left")
     named = named.select(F.col("set_key").alias("_key"), F.coalesce("_least", "first_id").alias("_component"), F.coalesce("_first", "first").alias("_stays"))
     joined = features.join(named, features["set_key"] == named["_key"], "left")

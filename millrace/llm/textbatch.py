@@ -43,13 +43,16 @@ def shuffle_width(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a temporary one used.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset on a
+    single machine (tests) is a temporary one used.  A cluster without it raises:
+    a machine's own folder is not seen by the others.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="checkpoint-")
@@ -177,6 +180,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             i = j
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, most_bytes: int = 48 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of sorted batches, with the groups' bounds."""
+    held: list[pa.RecordBatch] = []
+    n = size = 0
+
+    def cut(table: pa.Table) -> np.ndarray:
+        change = np.zeros(table.num_rows, bool)
+        change[:1] = True
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(change)
+
+    for b in batches:
+        held.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= most_bytes:
+            table = pa.Table.from_batches(held)
+            at = cut(table)
+            if len(at) > 1:
+                yield table.slice(0, at[-1]), at
+                held = table.slice(at[-1]).combine_chunks().to_batches()
+                n, size = table.num_rows - int(at[-1]), sum(x.nbytes for x in held)
+    if held and n:
+        table = pa.Table.from_batches(held)
+        at = cut(table)
+        yield table, np.append(at, table.num_rows)
+
+
 def windows(h: np.ndarray, width: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` successive words: a hash for each position, and which positions lie inside a document."""
     n = len(h)
