@@ -16,15 +16,22 @@ sorted, and only those whose anchor occurs more than once:
    gives its common-prefix intervals, and in each interval the occurrences are
    split by their left extensions.  Occurrences with a common left extension
    form a maximal repeat; all of them are put out, not just neighbours.
-4. An anchor with very many different contexts (a passage in many documents: the
-   contexts at its two ends all differ) would be one large group.  Its windows
-   are counted by hash instead, one row for each window, which no key gathers.
-
-Hashes of contexts and windows have 128 bits.
+4. The tree of an anchor with more contexts than one array holds (a passage in
+   very many documents: the contexts at its two ends all differ) is cut into
+   subtrees by longer common strings.  A window that holds its anchor ``t`` bytes
+   after its start has, for ``t`` in one of some strides, a core in common with
+   all windows of that stride; contexts with equal cores form a subtree, in which
+   only the few bytes around the core differ and are sorted.  Equal surroundings
+   are one row, whatever their number.  A subtree that is still too large has as
+   many levels as a stride has bytes and is laid out level by level.
+
+All ranges found for a context hold its anchor, so they make up one interval.
+Hashes of contexts and cores have 128 bits.
 
 With ``words`` the same is done to words in place of bytes: lengths and places
 count words, a word is the 64-bit hash of its bytes, and what stands between
 words does not matter.  Contexts travel as bytes and are cut into words again.
+A text of any length is looked at in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -39,25 +46,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import Texts, checkpoint, mix, shuffle_width, slices, small_batches
+from .textbatch import Texts, checkpoint, grouped, mix, seg_sum, shuffle_width, slices, small_batches
 
 _U = np.uint64
 #: Bytes of text whose anchors are sought at once; some ten words of memory go with each.
 ANCHOR_SLICE = 1 << 19
 #: Contexts that are put into one suffix array; whole anchors only.
 TREE_ROWS = 5_000
+#: Bytes or words of one text whose windows are looked at together.
+PIECE = 1 << 20
 _BASES = (_U(0x9E3779B97F4A7C55), _U(0xC2B2AE3D27D4EB4F))
 
 
 @dataclass(frozen=True)
 class Repeats:
-    """Length of a repeat, of an anchor (bytes, or words with ``words``), and how many contexts of one anchor a task sorts."""
+    """Length of a repeat and of an anchor (bytes, or words with ``words``), and how many contexts one suffix array holds of an anchor."""
 
     length: int = 400
     anchor: int = 128
-    most_contexts: int = 400
+    tree_contexts: int = 1000
     words: bool = False
 
+    @property
+    def stride(self) -> int:
+        """Window starts that share a core: so many that cores and levels of a subtree are about equally many."""
+        return min(self.anchor, max(1, round((self.length - self.anchor) ** 0.5)))
+
 
 @lru_cache(maxsize=2)
 def _byte_values(which: int) -> np.ndarray:
@@ -126,14 +140,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def find_anchors(texts: Texts, rule: Repeats) -> dict[str, np.ndarray]:
-    """Anchors of a slice: document, place, hash, context hashes, the context's reach to the left and right, and its bytes."""
-    w, k = rule.length, rule.anchor
-    data, offsets = units(texts, rule)
-    names = ("doc", "place", "hash", "one", "two", "left", "right", *_bytes_of(rule))
-    if len(data) < w or not (np.diff(offsets) >= w).any():
-        return {name: np.zeros(0, _U if name in ("hash", "one", "two") else np.int64) for name in names}
-    first = Rolling(data, 0)
+def _runs(data: np.ndarray, first: Rolling, offsets: np.ndarray, w: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of successive windows that chose the same anchor: first and last window, place of the anchor."""
     grams = first.every(k)
     bits = len(grams).bit_length()
     low = _U((1 << bits) - 1)
@@ -148,24 +156,52 @@ def find_anchors(texts: Texts, rule: Repeats) -> dict[str, np.ndarray]:
     place = chosen[start]
     new = np.r_[True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)]
     at = np.flatnonzero(new)
-    begin, last = start[at], start[np.append(at[1:], len(start)) - 1]
-    place = place[at]
+    return start[at], start[np.append(at[1:], len(start)) - 1], place[at]
+
+
+def _described(first: Rolling, second: Rolling, base: int, begin: np.ndarray, last: np.ndarray, place: np.ndarray, rule: Repeats) -> dict[str, np.ndarray]:
+    """Hashes of anchors and contexts of runs, by sums over the data from ``base`` on."""
+    w, k = rule.length, rule.anchor
+    begin, last, place = begin - base, last - base, place - base
+    return {"hash": first.at(place, place + k), "one": first.at(begin, last + w), "two": second.at(begin, last + w)}
+
+
+def find_anchors(texts: Texts, rule: Repeats) -> dict[str, np.ndarray]:
+    """Anchors of a slice: document, place, hash, context hashes, the context's reach to the left and right, and its bytes."""
+    w, k = rule.length, rule.anchor
+    data, offsets = units(texts, rule)
+    names = ("doc", "place", "hash", "one", "two", "left", "right", *_bytes_of(rule))
+    if len(data) < w or not (np.diff(offsets) >= w).any():
+        return {name: np.zeros(0, _U if name in ("hash", "one", "two") else np.int64) for name in names}
+    if len(data) <= PIECE + w:
+        first = Rolling(data, 0)
+        begin, last, place = _runs(data, first, offsets, w, k)
+        hashes = _described(first, Rolling(data, 1), 0, begin, last, place, rule)
+    else:  # pieces that overlap by a window; a run goes on over the border
+        found = []
+        for low in range(0, len(data) - w + 1, PIECE):
+            part = data[low : low + PIECE + w - 1]
+            edges = np.clip(offsets - low, 0, len(part))
+            if (np.diff(edges) >= w).any():
+                found.append([x + low for x in _runs(part, Rolling(part, 0), edges, w, k)])
+        begin, last, place = (np.concatenate(x) for x in zip(*found))
+        new = np.r_[True, (place[1:] != place[:-1]) | (begin[1:] != last[:-1] + 1)]
+        at = np.flatnonzero(new)
+        begin, last, place = begin[at], last[np.append(at[1:], len(last)) - 1], place[at]
+        parts, i = [], 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + PIECE)))
+            low, high = int(begin[i]), int(last[i:j].max()) + w
+            part = data[low:high]
+            parts.append(_described(Rolling(part, 0), Rolling(part, 1), low, begin[i:j], last[i:j], place[i:j], rule))
+            i = j
+        hashes = {n: np.concatenate([p[n] for p in parts]) for n in ("hash", "one", "two")}
     doc = np.searchsorted(offsets, begin, "right") - 1
-    second = Rolling(data, 1)
     size = {}
     if rule.words:
         first_byte = texts.starts[begin]
         size = {"first_byte": first_byte - texts.offsets[doc], "n_bytes": texts.ends[last + w - 1] - first_byte}
-    return {
-        "doc": doc,
-        "place": place - offsets[doc],
-        "hash": grams[place],
-        "one": first.at(begin, last + w),
-        "two": second.at(begin, last + w),
-        "left": place - begin,
-        "right": last + w - place,
-        **size,
-    }
+    return {"doc": doc, "place": place - offsets[doc], **hashes, "left": place - begin, "right": last + w - place, **size}
 
 
 # -- the interval tree --------------------------------------------------------
@@ -253,10 +289,24 @@ def maximal_repeats(group: np.ndarray, before: list[bytes], after: list[bytes],
                 yield np.array([x[j], y[j]]), np.array([shared[j], shared[j]]), int(e[j])
 
 
+def _reach(repeats: Iterator[tuple[np.ndarray, np.ndarray, int]], n: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Rows that occur in a repeat, and how far the repeats of each go to the left and to the right together."""
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for members, extension, extent in repeats:
+        left[members] = np.maximum(left[members], extension)
+        right[members] = np.maximum(right[members], extent)
+    at = np.flatnonzero(right)
+    return pa.array(at), left[at], right[at]
+
+
 # -- the plan -----------------------------------------------------------------
 
 _KEY = ["hash", "one", "two", "left", "right"]
 _KEY_TYPES = "hash long, one long, two long, left int, right int"
+#: A core: the first window start of its stride and its hash; and the bytes around it.
+_SUBTREE = ["first", "core_one", "core_two"]
+_CORE = [*_SUBTREE, "before", "after"]
+_CORE_TYPES = "first int, core_one long, core_two long, before binary, after binary"
 
 
 def _bytes_of(rule: Repeats) -> list[str]:
@@ -298,12 +348,9 @@ def _tree_task(rule: Repeats):
             text = [h[o[i] : o[i + 1]].tobytes() for i in range(len(text))]
             left = [8 * k for k in left]
         group = np.unique(rows.column("hash").to_numpy(), return_inverse=True)[1]
-        found: set[tuple[int, int, int]] = set()
-        for members, extension, extent in maximal_repeats(group, [t[:k] for t, k in zip(text, left)], [t[k:] for t, k in zip(text, left)], rule.length, unit):
-            found.update(zip(members.tolist(), (-extension).tolist(), [extent] * len(members)))
-        at = pa.array([f[0] for f in found], pa.int64())
+        at, before, after = _reach(maximal_repeats(group, [t[:k] for t, k in zip(text, left)], [t[k:] for t, k in zip(text, left)], rule.length, unit), len(text))
         keys = [rows.column(k).combine_chunks().take(at) for k in _KEY]
-        return pa.RecordBatch.from_arrays([*keys, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], [*_KEY, "begin", "end"])
+        return pa.RecordBatch.from_arrays([*keys, pa.array(-before), pa.array(after)], [*_KEY, "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -325,24 +372,78 @@ def _tree_task(rule: Repeats):
     return run
 
 
-def _window_task(rule: Repeats):
-    """Each window of a context with its hashes and its place before the anchor."""
+def _cores_task(rule: Repeats):
+    """Each context once for each stride of window starts: the hash of the core and the bytes around it."""
+    stride, unit = rule.stride, 8 if rule.words else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = units(Texts(b.column("context")), rule)
-            size = np.maximum(np.diff(offsets) - rule.length + 1, 0)
-            row = np.repeat(np.arange(b.num_rows), size)
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            start = offsets[row] + step
-            hashes = [Rolling(data, i).at(start, start + rule.length) for i in (0, 1)]
-            place = b.column("left").to_numpy()[row] - step
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in _KEY], *[pa.array(h.view(np.int64)) for h in hashes], pa.array(place.astype(np.int64))], [*_KEY, "w1", "w2", "offset"])
+            raw = data.tobytes()
+            sums = [Rolling(data, i) for i in (0, 1)]
+            low, high = offsets[:-1], offsets[1:]
+            at = low + b.column("left").to_numpy()
+            out = []
+            for first in range(0, rule.length - rule.anchor + 1, stride):
+                begin, end = at - first, at - first + rule.length - stride + 1
+                rows = np.flatnonzero((begin >= low) & (end <= high))
+                begin, end = begin[rows], end[rows]
+                far, near = np.maximum(begin - stride + 1, low[rows]), np.minimum(end + stride - 1, high[rows])
+                some = (begin - far) + (near - end) >= stride - 1  # at least one window
+                rows, begin, end, far, near = (x[some] for x in (rows, begin, end, far, near))
+                before = [raw[i * unit : j * unit] for i, j in zip(far.tolist(), begin.tolist())]
+                after = [raw[i * unit : j * unit] for i, j in zip(end.tolist(), near.tolist())]
+                take = pa.array(rows)
+                hashes = [pa.array(s.at(begin, end).view(np.int64)) for s in sums]
+                out.append([*[b.column(k).take(take) for k in _KEY], pa.array(np.full(len(rows), first, np.int32)), *hashes, pa.array(before, pa.binary()), pa.array(after, pa.binary())])
+            for columns in out:
+                yield pa.RecordBatch.from_arrays(columns, [*_KEY, *_CORE])
+
+    return run
+
+
+def _subtree_task(rule: Repeats):
+    """Repeated ranges around the cores of sorted rows of one core each, by the interval tree of what follows the core."""
+    unit = 8 if rule.words else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in grouped(batches, _SUBTREE, TREE_ROWS):
+            before, after = rows.column("before").to_pylist(), rows.column("after").to_pylist()
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            # what follows the core follows one unit that all have in common, so that the whole subtree is an interval too
+            at, left, right = _reach(maximal_repeats(group, before, [b"\1" * unit + a for a in after], rule.stride, unit), rows.num_rows)
+            columns = [rows.column(k).combine_chunks().take(at) for k in _CORE]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(left), pa.array(right - 1)], [*_CORE, "l", "r"])
 
     return run
 
 
+def _ranges_of_subtrees(contexts: DataFrame, rule: Repeats) -> DataFrame:
+    """Repeated ranges (key, begin, end) of anchors whose tree is cut into subtrees."""
+    unit, stride = 8 if rule.words else 1, rule.stride
+    listed = checkpoint(contexts.mapInArrow(_cores_task(rule), f"{_KEY_TYPES}, {_CORE_TYPES}"))
+    kinds = checkpoint(listed.groupBy("hash", *_CORE).agg(F.count("*").alias("n")))
+    sizes = checkpoint(kinds.groupBy("hash", *_SUBTREE).agg(F.count("*").alias("size")).where("size > 1"))
+    whole = kinds.where("n > 1").select("hash", *_CORE, (F.octet_length("before") / unit).cast("long").alias("l"), (F.octet_length("after") / unit).cast("long").alias("r"))
+    fits = sizes.where(F.col("size") <= rule.tree_contexts).select("hash", *_SUBTREE)
+    subtree = kinds.join(fits, ["hash", *_SUBTREE]).select(*_CORE)
+    wide = shuffle_width(contexts.sparkSession)
+    tree = subtree.repartition(wide, *_SUBTREE).sortWithinPartitions(*_SUBTREE).mapInArrow(_subtree_task(rule), f"{_CORE_TYPES}, l long, r long")
+    ranges = whole.select(*_CORE, "l", "r").unionByName(tree)
+    large = sizes.where(F.col("size") > rule.tree_contexts).select("hash", *_SUBTREE)
+    if not large.isEmpty():
+        level = F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("l")
+        l, r = F.col("l") * unit, (F.lit(stride - 1) - F.col("l")) * unit
+        each = kinds.join(large, ["hash", *_SUBTREE]).select(*_CORE, level).where((F.octet_length("before") >= l) & (F.octet_length("after") >= r))
+        each = each.withColumns({"x": F.expr(f"substring(before, int(octet_length(before) - l * {unit} + 1), int(l * {unit}))"), "y": F.expr(f"substring(after, 1, int(({stride} - 1 - l) * {unit}))")})
+        twice = checkpoint(each.groupBy(*_SUBTREE, "l", "x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+        levels = each.join(twice, [*_SUBTREE, "l", "x", "y"]).groupBy(*_CORE).agg(F.max("l").cast("long").alias("l"), F.max(F.lit(stride - 1) - F.col("l")).cast("long").alias("r"))
+        ranges = ranges.unionByName(levels)
+    best = checkpoint(ranges.groupBy(*_CORE).agg(F.max("l").alias("l"), F.max("r").alias("r")))
+    end = F.lit(rule.length - stride + 1) - F.col("first") + F.col("r")
+    return listed.join(best, _CORE).select(*_KEY, (-F.col("first") - F.col("l")).cast("long").alias("begin"), end.cast("long").alias("end"))
+
+
 def _contexts(wanted: DataFrame, docs: DataFrame, rule: Repeats) -> DataFrame:
     """Bytes of the contexts of (key, doc_id, check, place) rows."""
     d, w = docs.alias("d"), wanted.alias("w")
@@ -363,16 +464,16 @@ def repeated_ranges(docs: DataFrame, rule: Repeats) -> DataFrame:
     kinds = checkpoint(kinds.join(several, "hash", "left").select(*_KEY, "n", F.coalesce("contexts", F.lit(1)).alias("contexts"), "at.doc_id", "at.check", "at.place", *[f"at.{k}" for k in _bytes_of(rule)]))
     whole = kinds.where("n > 1").select(*_KEY, (-F.col("left")).cast("long").alias("begin"), F.col("right").cast("long").alias("end"))
     partial = kinds.where("contexts > 1").drop("n")
-    some = _contexts(partial.where(F.col("contexts") <= rule.most_contexts), docs, rule)
+    contexts = checkpoint(_contexts(partial, docs, rule))
+    some = contexts.where(F.col("contexts") <= rule.tree_contexts)
     wide = shuffle_width(docs.sparkSession)
     tree = some.drop("contexts").repartition(wide, "hash").sortWithinPartitions("hash").mapInArrow(_tree_task(rule), f"{_KEY_TYPES}, begin long, end long")
     ranges = whole.unionByName(tree)
-    many = partial.where(F.col("contexts") > rule.most_contexts)
+    many = contexts.where(F.col("contexts") > rule.tree_contexts)
     if not many.isEmpty():
-        listed = _contexts(many, docs, rule).mapInArrow(_window_task(rule), f"{_KEY_TYPES}, w1 long, w2 long, offset long")
-        twice = listed.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        hit = listed.join(twice, ["w1", "w2"]).select(*_KEY, (-F.col("offset")).alias("begin"), (F.lit(rule.length) - F.col("offset")).alias("end"))
-        ranges = ranges.unionByName(hit)
+        ranges = ranges.unionByName(_ranges_of_subtrees(many, rule))
+    # every range of a context holds its anchor, so together they are one interval, and the join gives one row an occurrence
+    ranges = checkpoint(ranges.groupBy(*_KEY).agg(F.min("begin").alias("begin"), F.max("end").alias("end")))
     return repeated.join(ranges, _KEY).select("doc_id", "check", (F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))
 
 
@@ -382,9 +483,8 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("check"), body.alias("text"))
 
 
-def _covered(part: pa.RecordBatch, texts: Texts) -> np.ndarray:
-    """Which bytes of a slice lie in its rows' ranges; with words, from a range's first word to the end of its last one."""
-    edge = np.zeros(texts.size + 1, np.int32)
+def _spans(part: pa.RecordBatch, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes in the ranges of a slice's rows: row, begin and end in the slice; with words, from a range's first word to the end of its last one."""
     lists = part.column("ranges")
     owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)) if lists.null_count == 0 else [len(x) if x is not None else 0 for x in lists.to_pylist()])
     flat = lists.flatten()
@@ -393,15 +493,25 @@ def _covered(part: pa.RecordBatch, texts: Texts) -> np.ndarray:
     if flat.type.num_fields == 3:
         of_words = flat.field("words").to_numpy(zero_copy_only=False).astype(bool)
         texts.words()
-    o, w = owner[~of_words], owner[of_words]
-    from_, to = begin[of_words], end[of_words]
-    begin, end = texts.offsets[o] + begin[~of_words], texts.offsets[o] + end[~of_words]
-    if len(w):
-        begin = np.concatenate([begin, texts.starts[texts.word_offsets[w] + from_]])
-        end = np.concatenate([end, texts.ends[texts.word_offsets[w] + to - 1]])
-    np.add.at(edge, begin, 1)
-    np.subtract.at(edge, end, 1)
-    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+    begin, end = begin.astype(np.int64), end.astype(np.int64)
+    if of_words.any():
+        w = owner[of_words]
+        first, last = texts.word_offsets[w] + begin[of_words], texts.word_offsets[w] + end[of_words] - 1
+        begin[of_words], end[of_words] = texts.starts[first] - texts.offsets[w], texts.ends[last] - texts.offsets[w]
+    begin, end = begin + texts.offsets[owner], end + texts.offsets[owner]
+    order = np.lexsort((begin, owner))
+    owner, begin, end = owner[order], begin[order], end[order]
+    if not len(owner):
+        return owner, begin, end
+    reach = np.maximum.accumulate(end)  # documents follow one another
+    at = np.flatnonzero(np.r_[True, (begin[1:] > reach[:-1]) | (owner[1:] != owner[:-1])])
+    return owner[at], begin[at], reach[np.append(at[1:], len(reach)) - 1]
+
+
+def _rest(texts: Texts, row: int, begin: list[int], end: list[int]) -> list[bytes]:
+    """What lies between the spans of a row."""
+    first = [int(texts.offsets[row]), *end]
+    return [texts.buf[i:j].tobytes() for i, j in zip(first, [*begin, int(texts.offsets[row + 1])])]
 
 
 def _with_ranges(docs: DataFrame, rules: tuple[Repeats, ...], doc_id: str, text: str, keep: list[str]) -> DataFrame:
@@ -411,7 +521,7 @@ def _with_ranges(docs: DataFrame, rules: tuple[Repeats, ...], doc_id: str, text:
     found = reduce(DataFrame.unionByName, each).groupBy("doc_id", "check").agg(F.collect_set(F.struct("begin", "end", *marks)).alias("ranges"))  # bounded by one text
     if keep:
         body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-        rows = docs.select(F.struct(*keep).alias("kept_row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("check"), body.alias("text"))
+        rows = docs.select(F.struct(*keep).alias("kept_row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("check"))
     f = found.alias("f")
     r = rows.alias("r")
     none = F.array().cast("array<struct<begin:long,end:long" + (",words:boolean>>" if marks else ">>"))
@@ -432,16 +542,19 @@ def removed_bytes(docs: DataFrame, rule: Repeats = Repeats(), doc_id: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=ANCHOR_SLICE):
             texts = Texts(part.column("text"))
-            gone = _covered(part, texts)
             o = texts.offsets
-            n_removed, n_spans, digest, spans = [], [], [], []
+            row, begin, end = _spans(part, texts)
+            at = np.searchsorted(row, np.arange(texts.n + 1))
+            n_spans = np.diff(at)
+            n_removed = seg_sum(end - begin, at)
+            digest, spans = [], []
             for i in range(texts.n):
-                mine, raw = gone[o[i] : o[i + 1]], texts.buf[o[i] : o[i + 1]]
-                turn = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8)))
-                n_removed.append(int(mine.sum()))
-                n_spans.append(len(turn) // 2)
-                digest.append(hashlib.sha256(raw[~mine].tobytes()).hexdigest())
-                spans.append([{"begin": b, "end": e} for b, e in turn.reshape(-1, 2).tolist()])
+                x, y = begin[at[i] : at[i + 1]].tolist(), end[at[i] : at[i + 1]].tolist()
+                sha = hashlib.sha256()
+                for piece in _rest(texts, i, x, y):
+                    sha.update(piece)
+                digest.append(sha.hexdigest())
+                spans.append([{"begin": b - int(o[i]), "end": e - int(o[i])} for b, e in zip(x, y)])
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(np.diff(o)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest), pa.array(spans, kind)],
@@ -462,18 +575,21 @@ def without_repeats(docs: DataFrame, *rules: Repeats, doc_id: str = "doc_id", te
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=ANCHOR_SLICE):
+        columns = lambda b: [b.column("kept_row"), b.column("kept_row").field(text), b.column("ranges")]
+        rows = (pa.RecordBatch.from_arrays(columns(b), ["kept_row", "text", "ranges"]) for b in batches)
+        for part in slices(rows, limit=ANCHOR_SLICE):
             texts = Texts(part.column("text"))
-            gone = _covered(part, texts)
+            row, begin, end = _spans(part, texts)
             # a character goes only if all its bytes do
-            lead = np.flatnonzero((texts.bytes & 0xC0) != 0x80)
-            if len(lead):
-                whole = np.logical_and.reduceat(gone, lead)
-                gone = np.repeat(whole, np.diff(np.append(lead, texts.size)))
-            o = texts.offsets
+            for _ in range(3):
+                begin = begin + (((texts.buf[begin] & 0xC0) == 0x80) & (begin < end))
+                inside = end < texts.offsets[row + 1]
+                end = end - (inside & ((texts.buf[end] & 0xC0) == 0x80) & (begin < end))
+            at = np.searchsorted(row, np.arange(texts.n + 1))
             row = part.column("kept_row")
             was = row.field(text)
-            cut = pa.array([texts.buf[o[i] : o[i + 1]][~gone[o[i] : o[i + 1]]].tobytes().decode("utf-8", "replace") if was[i].is_valid else None for i in range(texts.n)], pa.string())
+            left = [b"".join(_rest(texts, i, begin[at[i] : at[i + 1]].tolist(), end[at[i] : at[i + 1]].tolist())).decode("utf-8", "replace") if was[i].is_valid else None for i in range(texts.n)]
+            cut = pa.array(left, pa.string())
             yield pa.RecordBatch.from_arrays([cut if n == text else row.field(n) for n in names], names)
 
-    return joined.select("kept_row", "text", "ranges").mapInArrow(run, docs.schema)
+    return joined.select("kept_row", "ranges").mapInArrow(run, docs.schema)

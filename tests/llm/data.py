@@ -88,3 +88,139 @@ def components(sets: list[frozenset], percent: int) -> list[int]:
             x, y = root(i), root(j)
             parent[max(x, y)] = min(x, y)
     return [root(i) for i in range(len(sets))]
+
+
+# -- hashes in whole numbers, for features ---------------------------------------
+
+M = (1 << 64) - 1
+
+
+def mix(x: int) -> int:
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def hashed(b: bytes, seed: int = 0) -> int:
+    h = (len(b) + seed) * 0x9E3779B97F4A7C15 & M
+    for i in range(0, max(len(b), 1), 8):
+        h = mix(((h ^ int.from_bytes(b[i : i + 8], "little")) * 0xBF58476D1CE4E5B9 + 0x9E3779B97F4A7C15) & M)
+    return h
+
+
+def features(text: str | None, bits: int, shortest: int = 3, longest: int = 5) -> collections.Counter:
+    """Buckets of words, of pairs of words and of character n-grams of marked words, and the end feature."""
+    bucket = lambda h: 1 + mix(h) % ((1 << bits) - 1)
+    out, w = collections.Counter([0]), words(text)
+    for i, x in enumerate(w):
+        h = hashed(x.encode())
+        out[bucket(h ^ 0x632BE59BD9B4E019)] += 1
+        if i + 1 < len(w):
+            out[bucket(mix((h * 0x9E3779B97F4A7C15 + hashed(w[i + 1].encode())) & M) ^ 0x8CB92BA72F3D8DD7)] += 1
+        marked = f"<{x}>"
+        for n in range(shortest, longest + 1):
+            for j in range(len(marked) - n + 1):
+                out[bucket(hashed(marked[j : j + n].encode(), n))] += 1
+    return out
+
+
+# -- overlaps --------------------------------------------------------------------
+
+
+def tokens(text: str | None) -> list[str]:
+    """Lower-cased words without marks at their edges, three at most, of which something is left."""
+    out = []
+    for w in words(lowered(text)):
+        for _ in range(3):
+            if len(w.encode()) > 1 and w[-1] in ".,;:!?'\"()[]{}-_*":
+                w = w[:-1]
+            if len(w.encode()) > 1 and w[0] in ".,;:!?'\"()[]{}-_*":
+                w = w[1:]
+        out.append(w)
+    return out
+
+
+def overlap(doc: list[str], item: list[str], masks: tuple[str, ...], least: float, share: tuple[int, int] = (4, 5)) -> tuple | None:
+    """The overlap with most agreeing words on any diagonal with a seed: (first word, word of the item, words, agreeing ones)."""
+    best = None
+    for shift in range(1 - len(item), len(doc)):
+        first, last = max(shift, 0), min(shift + len(item), len(doc))
+        same = [doc[k] == item[k - shift] for k in range(first, last)]
+        seeded = any(all(same[i + k] for k, c in enumerate(m) if c == "1") for m in masks for i in range(len(same) - len(m) + 1))
+        if not seeded:
+            continue
+        found = None
+        for i in range(len(same)):
+            for j in range(i + 1, len(same) + 1):
+                n = sum(same[i:j])
+                if n >= least and share[1] * n >= share[0] * (j - i) and (found is None or (n, i - j, -j) > found[0]):
+                    found = ((n, i - j, -j), (first + i, first + i - shift, j - i, n))
+        if found and (best is None or found[1][3] > best[3]):
+            best = found[1]
+    return best
+
+
+# -- deleted interpolation ---------------------------------------------------------
+
+
+def interpolated(rows: list[tuple[int | None, str | None]], deleted_in: int, rounds: int, buckets: int, step: int) -> list[float]:
+    """log10 probability of each text under the mixture, with weights learned on the deleted part by expectation-maximisation over binned estimates."""
+    import math
+    import zlib
+
+    crc = [zlib.crc32(("" if i is None else str(i)).encode()) for i, _ in rows]
+    part = ["held" if c % 7 == 2 else "deleted" if c // 7 % deleted_in == 0 else "counted" for c in crc]
+    texts = [[*words(lowered(t)), None] for _, t in rows]
+
+    def counts(parts: set[str]):
+        one, two = collections.Counter(), collections.Counter()
+        for p, t in zip(part, texts):
+            if p in parts:
+                one.update(t)
+                two.update(zip([None, *t], t))
+        return one, two
+
+    bucket = lambda c: min(c.bit_length(), buckets - 1)
+    bins = lambda p: max(math.floor(math.log(p) * step), -step * 60) if p > 0 else 1
+    one, two = counts({"counted"})
+    n = sum(one.values())
+    cells: dict[tuple, list] = {}
+    for p, t in zip(part, texts):
+        if p == "deleted":
+            for a, b in zip([None, *t], t):
+                p2, p1 = two[a, b] / max(one[a], 1), one[b] / max(n, 1)
+                cell = cells.setdefault((bucket(one[a]), bins(p2), bins(p1)), [0, 0.0, 0.0])
+                cell[0] += 1
+                cell[1] += p2
+                cell[2] += p1
+    flat = 1 / (len(one) + 1)
+    weights = {b: (1 / 3, 1 / 3, 1 / 3) for b in range(buckets)}
+    have = sorted({k[0] for k in cells})
+    for _ in range(rounds):
+        gathered = {b: [0.0, 0.0, 0.0] for b in have}
+        for (b, _, _), (c, s2, s1) in cells.items():
+            each = [w * p for w, p in zip(weights[b], (s2 / c, s1 / c, flat))]
+            for k in range(3):
+                gathered[b][k] += c * each[k] / max(sum(each), 1e-300)
+        for b, g in gathered.items():
+            if sum(g) > 0:
+                weights[b] = tuple(x / sum(g) for x in g)
+    for b in range(buckets):
+        if have and b not in have:
+            weights[b] = weights[min(have, key=lambda x: (abs(x - b), x))]
+    weights[0] = (0.0, *weights[0][1:])
+    for b, w in weights.items():
+        w = (w[0], max(w[1], 1e-6), max(w[2], 1e-6))
+        weights[b] = tuple(x / sum(w) for x in w)
+    one, two = counts({"counted", "deleted"})
+    n, v = sum(one.values()), len(one)
+    out = []
+    for t in texts:
+        total = 0.0
+        for a, b in zip([None, *t], t):
+            w = weights[bucket(one[a])]
+            total += math.log10(w[0] * two[a, b] / max(one[a], 1) + w[1] * one[b] / max(n, 1) + w[2] / (v + 1))
+        out.append(total)
+    return out

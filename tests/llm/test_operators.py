@@ -5,12 +5,16 @@ from __future__ import annotations
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import classifier, components, decontam, lm_scoring, minhash, quality_rules, queries, sentencepiece_codec, sharding, suffix_dedup, token_counts, url_filter
 from millrace.llm.textbatch import Texts
@@ -65,9 +69,9 @@ def test_js_distance():
     assert quality_rules.js_distance(np.array([[1.0, 0.0]]), np.array([0.0, 1.0]))[0] == pytest.approx(1)
 
 
-@pytest.mark.parametrize("most", [400, 1])
+@pytest.mark.parametrize("most", [1000, 1])
 def test_suffix_dedup(docs, empty, most):
-    rule = suffix_dedup.Repeats(length=400, most_contexts=most)
+    rule = suffix_dedup.Repeats(length=400, tree_contexts=most)
     rows = texts_of(docs)
     want = collections.Counter((i, *r) for (i, _), r in zip(rows, data.removed([t for _, t in rows], 400)))
     got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removed_bytes(docs, rule).collect())
@@ -82,7 +86,7 @@ def test_suffix_dedup_cuts_whole_characters(spark):
     assert got == {1: "ab", 2: "cd", 3: None}
 
 
-@pytest.mark.parametrize("most", [400, 1])
+@pytest.mark.parametrize("most", [1000, 4, 1])
 def test_suffix_dedup_of_words(spark, most):
     r = random.Random(21)
     word = lambda: "".join(r.choice("abcdef") for _ in range(r.randrange(1, 4)))
@@ -100,12 +104,52 @@ def test_suffix_dedup_of_words(spark, most):
         gone = {i + x for i in range(len(w) - 50) if windows[tuple(w[i : i + 51])] > 1 for x in range(51)}
         want.append([x for i, x in enumerate(w) if i not in gone])
     table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
-    rule = suffix_dedup.Repeats(length=51, anchor=12, most_contexts=most, words=True)
+    rule = suffix_dedup.Repeats(length=51, anchor=12, tree_contexts=most, words=True)
     got = {x["doc_id"]: x["text"] for x in suffix_dedup.without_repeats(table, rule).collect()}
     assert [(got[i] or "").split() for i in range(len(rows))] == want and got[40] is None
     assert sum(len(w) for w in want) < sum(len((t or "").split()) for t in rows)
 
 
+@pytest.mark.parametrize("most", [5000, 40, 2])
+def test_suffix_dedup_of_a_hot_anchor(spark, most):
+    """One passage in 3,000 texts whose surroundings all differ, or agree for some bytes: one tree, subtrees and their levels."""
+    r = random.Random(31)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    near = ["".join(r.choice("xyz") for _ in range(30)) for _ in range(12)]
+    some = lambda: "".join(r.choice("klmn") for _ in range(r.randrange(20, 60)))
+    rows = []
+    for k in range(3000):
+        cut = r.randrange(0, 31)
+        rows.append(some() + near[r.randrange(12)][cut:] + passage + near[r.randrange(12)][: r.randrange(0, 31)] + some())
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    rule = suffix_dedup.Repeats(length=80, anchor=32, tree_contexts=most)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.removed_bytes(table, rule).collect()}
+    assert [got[i] for i in range(len(rows))] == data.removed(rows, 80)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_long_texts_are_looked_at_in_pieces(monkeypatch, words):
+    r = random.Random(5)
+    column = pa.array([" ".join(r.choice(["ab", "c", "def", "gh"]) for _ in range(n)) for n in (4000, 3, 900, 0, 7000)])
+    rule = suffix_dedup.Repeats(length=40, anchor=10, words=words)
+    want = suffix_dedup.find_anchors(Texts(column), rule)
+    for size in (1 << 7, 1000, 5000):
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
+        got = suffix_dedup.find_anchors(Texts(column), rule)
+        assert all((got[k] == want[k]).all() for k in want) and len(want["place"]) > 100
+
+
+def test_repeats_join_gives_one_row_an_occurrence(spark):
+    passage = data.prose(70, 100)
+    rows = [(i, data.prose(i, 40) + " " + passage + " " + data.prose(900 + i % 7, 60)) for i in range(60)]
+    table = suffix_dedup._identified(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    for most in (1000, 5, 1):
+        rule = suffix_dedup.Repeats(length=200, anchor=64, tree_contexts=most)
+        found = suffix_dedup.repeated_ranges(table, rule)
+        assert found.count() <= suffix_dedup.anchors(table, rule).count()
+        assert found.select("doc_id", "begin", "end").distinct().count() == found.count()
+
+
 def test_maximal_repeats_lists_all_occurrences():
     before, after = [b"xxab", b"yyab", b"zzab", b"zzzz"], [b"cdef1", b"cdef2", b"cdef3", b"cdef4"]
     groups = list(suffix_dedup.maximal_repeats(np.zeros(4, int), before, after, 6))
@@ -162,6 +206,55 @@ def test_classifier_scores_are_the_network(spark):
     assert np.allclose(f.scores(vectors @ layer.T), want)
 
 
+def test_classifier_features_and_steps():
+    """Features against whole numbers, and a step against the gradient of the loss by differences."""
+    s = classifier.Settings(bucket_bits=12)
+    texts = [t if t is None or len(t) < 4000 else t[:4000] for _, t, *_ in data.documents()]
+    t = Texts(pa.array(texts))
+    t.words()
+    f = classifier.Features(t, s)
+    want = [data.features(x, 12) for x in texts]
+    bags = list(f.bags())
+    for (ids, share), w in zip(bags, want):
+        assert ids.tolist() == sorted(w) and np.allclose(share, [w[i] / w.total() for i in sorted(w)])
+    table = np.random.default_rng(2).random((1 << 12, 2))
+    assert np.allclose(f.scores(table), [sum(n * table[i] for i, n in w.items()) / w.total() for w in want])
+
+    labels = np.arange(len(bags)) % 2
+    random_ = np.random.default_rng(3)
+    vectors, layer = random_.random((1 << 12, 3)), random_.random((2, 3))
+
+    def loss(v, q):
+        z = [q @ (share @ v[ids]) for ids, share in bags]
+        return sum(np.log(np.exp(x).sum()) - x[k] for x, k in zip(z, labels))
+
+    v, q = vectors.copy(), layer.copy()
+    batch = classifier._Batch(bags, labels)
+    batch.scale = np.ones_like(batch.scale)  # plain gradient
+    assert batch.loss(vectors, layer) == pytest.approx(loss(vectors, layer), rel=1e-5)
+    batch.step(v, q, 1.0)
+    for at in [(0, 0), (0, 2), (int(bags[4][0][1]), 1), (int(bags[7][0][5]), 0)]:
+        up, down = vectors.copy(), vectors.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        assert vectors[at] - v[at] == pytest.approx((loss(up, layer) - loss(down, layer)) / 2e-5, abs=1e-4)
+    up, down = layer.copy(), layer.copy()
+    up[1, 2] += 1e-5
+    down[1, 2] -= 1e-5
+    assert layer[1, 2] - q[1, 2] == pytest.approx((loss(vectors, up) - loss(vectors, down)) / 2e-5, abs=1e-4)
+
+
+def test_classifier_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, data.prose(1, 50))] * 300 + [(1, "other text")] + [(i, data.prose(i, 40)) for i in range(2, 60)] + [(60, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 61)] + [(1, 0)], "doc_id long, quality int")
+    s = classifier.Settings()
+    bags, y = classifier.labelled_sample(docs, labels, s, "doc_id", "text", "quality")
+    assert len(bags) == 60 and y.sum() == 30
+    few = classifier.labelled_sample(docs, labels, classifier.Settings(max_features=5000), "doc_id", "text", "quality")[0]
+    assert 0 < len(few) < 60 and sum(len(ids) for ids, _ in few) <= 5000
+    assert len(classifier.labelled_sample(docs, labels, classifier.Settings(max_rows=7), "doc_id", "text", "quality")[0]) == 7
+
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -169,13 +262,26 @@ def test_url_filter(spark):
     cases = {
         "http://a.example.net/en/1": ("example.net/en/", "allow"), "https://NET/": ("net/", "block"), "http://x.net": (None, "allow"), "http://example.com/de/1?q": ("example.com/de/", "block"),
         "http://adult.example.com/en/": (None, "block"), "http://sadults.example.com/en/": (None, "allow"), "http://ads-track.example.com/x": (None, "block"), "http://ads-ads.example.com/x": (None, "allow"),
+        "http://free.example.com/hot": (None, "allow"), "http://free.example.com/hot/sale": (None, "block"), "http://free.example.com/spam": (None, "block"), "http://spam.example.com/": (None, "allow"),
         "http://a.org/fr/x#porn": ("org/fr/", "allow"), None: (None, "allow"), "": (None, "allow"), "nothing": (None, "allow"), "http://XXX.org/x": (None, "block"),
     }
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)] + [(None, None, None)], "page_id long, url string, host string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, RULES).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
     assert url_filter.filter_urls(pages.where("false"), RULES).count() == 0
-    assert url_filter.host_and_path("http://WWW.É.com:80/a/B?c") == ("www.É.com:80", "/a/B")
+    one = spark.createDataFrame([("http://WWW.É.com:80/a/B?c",)], "u string").select(*url_filter.host_and_path(F.col("u"))).first()
+    assert tuple(one) == ("www.É.com:80", "/a/B")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*url_filter.SOFT_TERMS, "casino", "porn", "x", "1", "/", "-", ".", "É"]), max_size=7))
+def test_vocabulary_hits(parts):
+    """Against a search for each term by itself."""
+    text = "".join(parts)
+    alone = lambda t: len(re.findall(rf"(?<![a-z0-9])(?={re.escape(t)}(?![a-z0-9]))", text))
+    auto = url_filter.automaton(url_filter.STRICT_TERMS, tuple(url_filter.SOFT_TERMS.items()))
+    hard, light = url_filter.vocabulary_hits(text, auto)
+    assert hard == sum(map(alone, url_filter.STRICT_TERMS)) and light == {t: w for t, w in url_filter.SOFT_TERMS.items() if alone(t)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -288,6 +394,41 @@ def test_near_duplicates_of_prose(spark):
     assert sorted(x["doc_id"] for x in left) == sorted(set(want))
 
 
+@pytest.mark.parametrize("rate", [5, 60])
+def test_near_duplicates_of_a_dense_group(spark, rate):
+    """2,000 different texts that are all near, and 400 of which many are apart from any leader; without ids as well."""
+    r = random.Random(rate)
+    base = data.prose(77, 220).split()
+    rows = []
+    for _ in range(2000 if rate == 5 else 250):
+        w = list(base)
+        for _ in range(r.randrange(0, rate // 5 + 1)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append(" ".join(w))
+    table = spark.createDataFrame([(i if i % 3 else None, t, i) for i, t in enumerate(rows)], "doc_id long, text string, n long").repartition(5)
+    sets = [data.shingles(t) for t in rows]
+    if rate == 5:
+        whole = data.shingles(" ".join(base))
+        assert all(100 * len(s & whole) >= 85 * len(s | whole) for s in sets)
+        want = [0] * len(rows) if " ".join(base) in rows else data.components(sets, 85)
+    else:
+        want = data.components(sets, 85)
+        assert len(set(want)) > 20
+    got = minhash.near_duplicates(table.withColumn("doc_id", table["n"]), minhash.Rule(block=64)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: c for i, c in enumerate(want)}
+    left = minhash.without_near_duplicates(table, minhash.Rule(percent=85, block=64)).collect()
+    groups = collections.Counter(want[x["n"]] for x in left)
+    assert set(groups) == set(want) and set(groups.values()) == {1}
+
+
+def test_repeated_rows_without_ids_do_not_multiply(spark):
+    near = [" ".join([*data.prose(5, 60).split(), f"end{k}"]) for k in range(6)]
+    table = spark.createDataFrame([(None, t) for t in near for _ in range(200)] + [(None, data.prose(6, 60))], "doc_id long, text string")
+    got = minhash.near_duplicates(table).collect()
+    assert len(got) == 1201 and all(x["component_id"] is None for x in got)
+    assert minhash.without_near_duplicates(table).count() == 2
+
+
 def test_one_of_near_duplicates_stays_whatever_their_ids(spark):
     def near(k):
         w = data.prose(k, 150).split()
@@ -309,7 +450,9 @@ def test_estimate_is_close():
     assert minhash.estimate(both[:1], both[1:], n, n)[0] == pytest.approx(0.6, abs=0.08)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 14, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, r.randrange(101, 200)) for _ in range(90)] + [(7, 7), (300, 301), (301, 300)]
     got = {x["node"]: x["component"] for x in components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
@@ -368,6 +511,37 @@ def test_stretch_is_the_best_of_all(spark):
     assert decontam.best_stretch(np.zeros(5, bool), 0.8) == (0, 0)
 
 
+def test_overlaps_are_the_best_of_all_diagonals(spark):
+    """Every column against all stretches of all diagonals that have a seed, with passages moved, substituted, cut and repeated."""
+    r = random.Random(19)
+    word = lambda: r.choice("abcdefghij") + r.choice("aeiou") + r.choice(["", ",", "."])
+    items = [[word() for _ in range(r.choice([5, 9, 14, 25, 40]))] for _ in range(14)]
+    rows = []
+    for k in range(70):
+        doc = [word() for _ in range(r.randrange(0, 50))]
+        for _ in range(r.randrange(0, 3)):
+            p = [x if r.random() > 0.12 else word() for x in r.choice(items)]
+            at = r.randrange(len(doc) + 1)
+            doc[at:at] = p[r.randrange(0, 3) :][: r.choice([6, 13, 60])]
+        rows.append(" ".join(x.upper() if r.random() < 0.2 else f"({x}" if r.random() < 0.1 else x for x in doc))
+    rows += [rows[3], None, ""]
+    ids = [i if i % 9 else None for i in range(len(rows))]
+    short = {len(i) for i in items if 4 <= len(i) < max(map(len, decontam.MASKS))}
+    want = collections.Counter()
+    for i, t in zip(ids, rows):
+        for k, item in enumerate(items):
+            item = data.tokens(" ".join(item))
+            masks = (*decontam.MASKS, *("1" * n for n in short if n == len(item)))
+            got = data.overlap(data.tokens(t), item, masks, min(12, 0.8 * len(item)))
+            if got:
+                want[(i, k, *got, round(got[3] / got[2], 6))] += 1
+    table = spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    found = decontam.contaminated(table, bench).collect()
+    assert collections.Counter((x["doc_id"], x["item_id"], x["doc_word"], x["item_word"], x["n_words"], x["n_same"], round(x["share"], 6)) for x in found) == want
+    assert sum(want.values()) > 20
+
+
 @pytest.mark.parametrize("tokens", [1 << 20, 10])
 def test_items_without_an_id(spark, tokens):
     items = [(None, data.prose(950, 30)), (None, data.prose(951, 30)), (3, data.prose(952, 30)), (None, None)]
@@ -391,6 +565,20 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_token_counts_of_any_letters():
+    """Letters, marks and cases of all of Unicode, as the library takes them."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, ours, r = Tokenizer.from_file(path), token_counts.RankMerger(path), random.Random(8)
+    stock = [chr(c) for c in [*range(0x21, 0x3000), *range(0xA000, 0xD800, 7), *range(0xE000, 0x33480, 11), 0x3EB95, 0x1DF25, 0x10D4A, 0x11F50]]
+    texts = ["İ\U0003EB95", "<|endoftext|>É", "ΑΣ"] + ["".join(r.choice(stock) for _ in range(r.randrange(1, 9))) for _ in range(4000)]
+    t = Texts(pa.array(texts))
+    t.words()
+    got = np.add.reduceat(np.r_[ours.count_words(t), 0], t.word_offsets[:-1]) * (np.diff(t.word_offsets) > 0)
+    assert got.tolist() == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_lm_scores(docs, empty):
     rows = texts_of(docs)
     tokens = [data.words(data.lowered(t)) + [None] for _, t in rows]
@@ -404,6 +592,19 @@ def test_lm_scores(docs, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_lm_scores_are_the_mixture(spark):
+    """Every score against a plain computation of counts, weights and probabilities."""
+    r = random.Random(23)
+    stock = [f"w{k}" for k in range(40)]
+    rows = [(i if i % 50 else None, None if i == 9 else " ".join(r.choice(stock[: 1 + i % 40]) for _ in range(r.randrange(0, 60)))) for i in range(400)]
+    plan = lm_scoring.Plan(block_bytes=9_000, deleted_in=6)
+    want = data.interpolated(rows, 6, plan.em_rounds, lm_scoring.BUCKETS, lm_scoring._STEP)
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), plan=plan).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    ours, plain = sorted([(x["doc_id"], x["score"]) for x in got], key=key), sorted([(i, w) for (i, _), w in zip(rows, want)], key=key)
+    assert [x[0] for x in ours] == [x[0] for x in plain] and np.allclose([x[1] for x in ours], [x[1] for x in plain], rtol=1e-9)
+
+
 def test_lm_beats_its_base(spark):
     rows = spark.createDataFrame([(i, " ".join(f"w{(i + k) % 30} then{(i + k) % 30}" for k in range(40))) for i in range(300)], "doc_id long, text string")
     held = [r for r in lm_scoring.score_texts(rows).collect() if r["held_out"]]
