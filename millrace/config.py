@@ -80,6 +80,8 @@ TRAIN_RATIO = 0.95
 SEED = 42
 SAMPLE_SENTENCES = 5000
 MAX_WORDS = 100_000
+#: Characters held out at a corpus's end, and the most that train.
+HOLDOUT_CHARS, HOLDOUT_TRAIN_CHARS = 200_000, 20_000_000
 PURITY_LINES = 10_000
 CONTEXT_TOKENS = 512
 #: Levels of the classical codecs (None: the codec's default).

@@ -45,9 +45,12 @@ def words(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Normalisation form C, by the library that Spark's collations use; null stays null."""
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))
-    return F.when(c.isNotNull(), composed)
+    """Normalisation form C, by the library that Spark's collations use; null stays null, ASCII texts are in it already."""
+    return let(c, lambda x: F.when(F.octet_length(x) == F.length(x), x).when(x.isNotNull(), _composed(x)))
+
+
+def _composed(c: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))
 
 
 def strip_boilerplate(c: Column) -> Column:

@@ -20,14 +20,16 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
 
     The optimizer's estimate decides; nothing is run for it.
     """
+    if rows.isStreaming:
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores, key) if size < cores * SMALL else rows
+    return rows.repartition(cores, key) if ordered.estimated_bytes(rows) < cores * SMALL else rows
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Lines of documents with their place; a null text has none."""
-    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Lines of documents with their place; a null text has none, an empty one has one empty line."""
+    rows = docs.select("doc_id", "lang", "source", "text")
+    return spread(rows, "doc_id").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def classify(lines: DataFrame, script: ScriptSpec = DEVANAGARI) -> DataFrame:
@@ -41,22 +43,24 @@ def classify(lines: DataFrame, script: ScriptSpec = DEVANAGARI) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, script: ScriptSpec = DEVANAGARI) -> DataFrame:
+    """Lines that cleaning keeps, with their cleaned form."""
     return classify(lines_of(docs), script).where("status = 'keep'")
 
 
 def first_lines(lines: DataFrame, line: str = "line", group: str = "lang") -> DataFrame:
-    """The first of equal lines within a language; blank lines all stay.
+    """The first of equal lines within a language; blank lines all stay, null lines go.
 
     The first is found by an aggregation of places, which combines before its
     shuffle, so a very common line is one row for each task.
     """
-    key = F.md5(F.col(line))
-    marked = lines.withColumn("_key", key)
+    marked = lines.withColumn("__line_key", F.md5(F.col(line)))
     place = F.struct("doc_id", "line_no")
-    first = marked.where(F.col(line) != "").groupBy(group, "_key").agg(F.min(place).alias("_first"))
-    stay = first.select(F.col("_first.doc_id").alias("doc_id"), F.col("_first.line_no").alias("line_no"))
-    blank = marked.where(F.col(line) == "").drop("_key")
-    return marked.drop("_key").join(stay, ["doc_id", "line_no"], "left_semi").unionByName(blank)
+    first = marked.where(F.col(line) != "").groupBy(group, "__line_key").agg(F.min(place).alias("x"))
+    stay = first.select(F.col(group).alias("__g"), F.col("__line_key").alias("__k"), F.col("x.doc_id").alias("__d"), F.col("x.line_no").alias("__n"))
+    on = F.col(group).eqNullSafe(F.col("__g")) & (F.col("__line_key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("line_no").eqNullSafe(F.col("__n"))
+    # rows that repeat an id and a place as well are one line
+    unique = marked.join(stay, on, "left_semi").dropDuplicates([group, "__line_key"])
+    return unique.drop("__line_key").unionByName(lines.where(F.col(line) == ""))
 
 
 def clean_stats(docs: DataFrame, script: ScriptSpec = DEVANAGARI) -> DataFrame:
@@ -80,10 +84,11 @@ def clean_stats(docs: DataFrame, script: ScriptSpec = DEVANAGARI) -> DataFrame:
 
 def script_purity(docs: DataFrame, script: ScriptSpec, limit: int = PURITY_LINES) -> DataFrame:
     """Mean script ratio of each language's first kept lines, and whether less than 1 % is foreign."""
-    kept = kept_lines(docs, script).select("lang", "doc_id", "line_no", "cleaned")
-    ranked = ordered.by_number(kept, ["lang"], ["doc_id", "line_no"], F.lit(1), "rank").where(F.col("rank") <= limit)
-    foreign = 1 - F.avg(T.script_ratio(F.col("cleaned"), script))
-    return ranked.groupBy("lang").agg(F.count("*").alias("lines"), F.round(foreign, 4).alias("foreign_share"), F.when(F.round(foreign, 4) < 0.01, "PASS").otherwise("WARN").alias("verdict"))
+    ratio = T.script_ratio(F.col("cleaned"), script).alias("ratio")
+    kept = kept_lines(docs, script).select("lang", "doc_id", "line_no", ratio).persist()  # slim rows, read three times
+    ranked = ordered.by_number(kept, ["lang"], ["doc_id", "line_no"], F.lit(1), "rank", below=limit).where(F.col("rank") <= limit)
+    foreign = F.round(1 - F.avg("ratio"), 4)
+    return ranked.groupBy("lang").agg(F.count("*").alias("lines"), foreign.alias("foreign_share"), F.when(foreign < 0.01, "PASS").otherwise("WARN").alias("verdict"))
 
 
 def long_lines(docs: DataFrame, threshold: int, limit: int = 20) -> DataFrame:
@@ -136,7 +141,10 @@ def signature_classes(signed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def near_dedup_lsh(rows: DataFrame, key: str = "doc_id", text: str = "text", spec: NearDedup = NearDedup()) -> DataFrame:
-    """Rows without a near duplicate of lesser id; short texts are not compared."""
+    """Rows without a near duplicate of lesser id; short and null texts are not compared.
+
+    Rows of one id are one document, whose shingles are taken together.
+    """
     signed = signatures(rows, key, text, spec)
     pairs = signature_pairs(signed, key, spec)
     beaten = pairs.select(F.col("b").alias("representative")).distinct()

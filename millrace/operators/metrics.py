@@ -30,12 +30,10 @@ def byte_counts(docs: DataFrame, text: str = "text", group: str = "lang") -> Dat
 
 def first_words(docs: DataFrame, limit: int = MAX_WORDS, group: str = "lang", text: str = "text") -> DataFrame:
     """The first words of each language in document order; only documents that begin within the limit are split open."""
-    listed = docs.select("doc_id", group, T.words(F.col(text)).alias("words"))
-    slim = listed.select("doc_id", group, F.size("words").cast("long").alias("_n"))
-    before = ordered.by_number(slim, [group], ["doc_id"], F.col("_n"), "_running").withColumn("_before", F.col("_running") - F.col("_n"))
-    inside = before.where(F.col("_before") < limit).select("doc_id", "_before")
-    rows = listed.join(inside, "doc_id")
-    return rows.select("doc_id", group, F.explode(F.slice("words", 1, F.greatest(F.lit(limit) - F.col("_before"), F.lit(0)).cast("int"))).alias("word"))
+    sized = docs.select("doc_id", group, F.col(text).alias("__text"), F.coalesce(F.size(T.words(F.col(text))), F.lit(0)).cast("long").alias("__n"))
+    rows = ordered.by_number(sized, [group], ["doc_id"], F.col("__n"), "__running", below=limit).where("__n > 0")
+    take = F.least(F.col("__n"), F.lit(limit) - (F.col("__running") - F.col("__n"))).cast("int")
+    return rows.withColumn("__take", take).where("__take > 0").select("doc_id", group, F.explode(F.slice(T.words(F.col("__text")), F.lit(1), F.col("__take"))).alias("word"))
 
 
 def complexity(docs: DataFrame, limit: int = MAX_WORDS, group: str = "lang") -> DataFrame:

@@ -140,8 +140,7 @@ def train_test_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    sized = sample.train_test_split(docs).join(docs.select("doc_id", F.octet_length("text").cast("long").alias("size")), "doc_id")
+    sized = sample.train_test_split(_docs(spark, d).withColumn("size", F.octet_length("text").cast("long")), keep=("size",))
     count = lambda s: F.count_if(F.col("split") == s).alias(f"{s}_documents")
     mb = lambda s: F.round(F.sum(F.when(F.col("split") == s, F.col("size")).otherwise(0)) / (1024 * 1024), 4).alias(f"{s}_size_mb")
     return sized.groupBy("lang").agg(F.count("*").alias("total_documents"), count("train"), count("test"), mb("train"), mb("test"), F.lit(SEED).cast("long").alias("seed"))
@@ -195,8 +194,7 @@ def hapax_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bigram_bits(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    joined = docs.select("doc_id", "lang", "text").join(sample.train_test_split(docs).select("doc_id", "split"), "doc_id")
+    joined = sample.mark_split(_docs(spark, d).select("doc_id", "lang", "text"))
     return ngram.bits_per_char(joined.where("split = 'train'").select("lang", "text"), joined.where("split = 'test'").select("lang", "text"))
 
 
@@ -333,7 +331,7 @@ def corpus_size_report(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     raw = docs.select("lang", F.lit("raw").alias("stage"), F.octet_length("text").cast("long").alias("bytes"))
     clean = curate.kept_lines(docs, LATIN).select("lang", F.lit("clean").alias("stage"), F.octet_length("cleaned").cast("long").alias("bytes"))
-    split = sample.train_test_split(docs).join(docs.select("doc_id", F.octet_length("text").cast("long").alias("bytes")), "doc_id").select("lang", F.col("split").alias("stage"), "bytes")
+    split = sample.train_test_split(docs.withColumn("bytes", F.octet_length("text").cast("long")), keep=("bytes",)).select("lang", F.col("split").alias("stage"), "bytes")
     return report.size_report(raw.union(clean).union(split))
 
 
