@@ -83,6 +83,8 @@ MAX_WORDS = 100_000
 #: Characters held out at a corpus's end, and the most that train.
 HOLDOUT_CHARS, HOLDOUT_TRAIN_CHARS = 200_000, 20_000_000
 PURITY_LINES = 10_000
+#: Characters of the test part that a model is measured on.
+MODEL_CHARS = 50_000
 CONTEXT_TOKENS = 512
 #: Levels of the classical codecs (None: the codec's default).
 CODEC_LEVELS = {"gzip": 9, "bzip2": 9, "lzma": None, "zstd": 19}

@@ -97,16 +97,21 @@ def long_lines(docs: DataFrame, threshold: int, limit: int = 20) -> DataFrame:
     return found.orderBy("doc_id", "line_no").limit(limit).select("doc_id", "line_no", F.length("line").cast("long").alias("chars"), F.substring("line", 1, 100).alias("preview"))
 
 
-def paragraphs(classified: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Runs of kept lines between others: (doc_id, lang, para, n_lines, text).
+def paragraphs(classified: DataFrame, by: str = "doc_id", whole_files: bool = False) -> DataFrame:
+    """Runs of kept lines between others: (doc_id, lang, first_line, n_lines, text).
 
-    Islands are numbered within a document, so a document's lines are all that
-    one task orders.
+    Islands are numbered within a document.  A document's lines are ordered in
+    one task, or, with ``whole_files``, where a document is a file of any size, in
+    ranges of lines.
     """
-    w = Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = classified.withColumn("_island", F.sum((F.col("status") != "keep").cast("int")).over(w))
+    broken = (F.col("status") != "keep").cast("int")
+    if whole_files:
+        numbered = ordered.by_number(classified, ["lang", by], ["line_no"], broken, "__island")
+    else:
+        w = Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        numbered = classified.withColumn("__island", F.sum(broken).over(w))
     listed = F.array_sort(F.collect_list(F.struct("line_no", "cleaned")))
-    grouped = numbered.where("status = 'keep'").groupBy("doc_id", "lang", "_island").agg(listed.alias("x"), F.min("line_no").alias("first_line"))
+    grouped = numbered.where("status = 'keep'").groupBy("doc_id", "lang", "__island").agg(listed.alias("x"), F.min("line_no").alias("first_line"))
     return grouped.select("doc_id", "lang", "first_line", F.size("x").cast("long").alias("n_lines"), F.array_join(F.transform("x", lambda s: s["cleaned"]), "\n").alias("text"))
 
 
@@ -140,19 +145,52 @@ def signature_classes(signed: DataFrame, key: str = "doc_id") -> DataFrame:
     return signed.join(least, "signature").select(key, "representative")
 
 
+def beaten_classes(signed: DataFrame, key: str = "doc_id", spec: NearDedup = NearDedup(), block: int = 256) -> DataFrame:
+    """Representatives (representative) of equal signatures that have a near class of lesser id.
+
+    Bands are compared in blocks of ``block`` classes, each two blocks in a task;
+    a task puts out a class once at most, so a very common band costs no pairs.
+    """
+    rows = spec.hashes // spec.bands
+    classes = signed.groupBy("signature").agg(F.min(key).alias("id"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(spec.bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows)))
+    banded = classes.select("id", "signature", F.explode(band).alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = banded.join(shared, "band").withColumn("n", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    need = spec.matches
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values("id")
+        signatures = np.stack(pdf["signature"].to_list())
+        near = [bool(((signatures[:i] == signatures[i]).sum(1) >= need).any()) for i in range(1, len(pdf))]
+        return pd.DataFrame({"representative": pdf["id"].to_numpy()[1:][near]})
+
+    kind = signed.schema[key].dataType.simpleString()
+    return met.select("id", "signature", "band", "low", "high").groupBy("band", "low", "high").applyInPandas(run, f"representative {kind}").distinct()
+
+
 def near_dedup_lsh(rows: DataFrame, key: str = "doc_id", text: str = "text", spec: NearDedup = NearDedup()) -> DataFrame:
     """Rows without a near duplicate of lesser id; short and null texts are not compared.
 
     Rows of one id are one document, whose shingles are taken together.
     """
-    signed = signatures(rows, key, text, spec)
-    pairs = signature_pairs(signed, key, spec)
-    beaten = pairs.select(F.col("b").alias("representative")).distinct()
+    signed = signatures(rows, key, text, spec).persist()  # slim rows, read three times
     classes = signature_classes(signed, key)
-    gone = classes.join(beaten, "representative", "left_semi").select(key).union(classes.where(F.col(key) != F.col("representative")).select(key))
+    gone = classes.join(beaten_classes(signed, key, spec), "representative", "left_semi").select(key).union(classes.where(F.col(key) != F.col("representative")).select(key))
     return rows.join(gone.distinct(), key, "left_anti")
 
 
+def near_dedup_stats(rows: DataFrame, group: str = "lang", key: str = "doc_id") -> DataFrame:
+    """Documents of each language and how many of them are near duplicates of others."""
+    kept = near_dedup_lsh(rows, key).groupBy(group).agg(F.count("*").alias("__kept"))
+    counted = rows.groupBy(group).agg(F.count("*").alias("documents"))
+    joined = counted.join(kept.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g")), "left")
+    return joined.select(group, "documents", (F.col("documents") - F.coalesce("__kept", F.lit(0))).alias("near_duplicates"))
+
+
 def near_dedup_sequential(paras: DataFrame, spec: NearDedup = NearDedup(), group: str = "lang", order: tuple[str, ...] = ("doc_id", "first_line")) -> DataFrame:
     """Greedy near-dedup in order: a paragraph goes if it is near one of the last ``window`` kept ones.
 

@@ -9,9 +9,11 @@ from collections.abc import Sequence
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import metrics, ordered
 
 class ProbModel(Protocol):
     """What the arithmetic coder and the samplers need of a model."""
@@ -66,11 +68,76 @@ def bits_per_char(train: DataFrame, test: DataFrame, group: str = "lang", text:
     return all_.select(group, F.col("chars").alias("total_chars"), F.col("bytes").alias("total_bytes"), F.round("total_bits", 2).alias("total_bits"), F.round(F.col("total_bits") / F.col("chars"), 4).alias("bpc"), F.round(F.col("total_bits") / F.col("bytes"), 4).alias("bpb"))
 
 
+def model_sizes(docs: DataFrame, bits: DataFrame, group: str = "lang", text: str = "text") -> DataFrame:
+    """Bytes that ideal coders need: of single characters, of single bytes, and of characters after characters (``bits``, of the test part).
+
+    A codec table (group, codec, original_bytes, original_chars, compressed_bytes).
+    """
+    whole = docs.groupBy(group).agg(F.sum(F.octet_length(text)).alias("original_bytes"), F.sum(F.length(text)).alias("original_chars"))
+
+    def ideal(counts: DataFrame, name: str) -> DataFrame:
+        totals = counts.groupBy(group).agg(F.sum("n").alias("__t"))
+        each = ordered.beside(counts, F.broadcast(totals), [group])  # one row a group
+        sums = each.groupBy(group).agg(F.sum(-F.col("n") * F.log2(F.col("n") / F.col("__t"))).alias("__bits"))
+        return ordered.beside(whole, sums, [group]).select(group, F.lit(name).alias("codec"), "original_bytes", "original_chars", F.ceil(F.col("__bits") / 8).cast("long").alias("compressed_bytes"))
+
+    pairs = bits.select(group, F.lit("bigram").alias("codec"), F.col("total_bytes").alias("original_bytes"), F.col("total_chars").alias("original_chars"), F.ceil(F.col("total_bits") / 8).cast("long").alias("compressed_bytes"))
+    return ideal(metrics.char_counts(docs, text, group), "characters").unionByName(ideal(metrics.byte_counts(docs, text, group), "bytes")).unionByName(pairs)
+
+
+def windowed(test: DataFrame, bits: DataFrame, context: int, group: str = "lang", text: str = "text") -> DataFrame:
+    """Bits of the test part in windows of ``context`` ids: windows, tokens, bits for each of them, and the ratio to plain bytes.
+
+    Windows overlap by an id, and the model sees one character back, so the bits
+    are those of the whole sequence.
+    """
+    n = F.length(text)
+    count = F.when(n >= 2, F.floor((n - 2) / (context - 1)) + 1).otherwise(0)
+    sizes = test.where(n > 0).groupBy(group).agg(F.sum(count).cast("long").alias("windows"))
+    both = ordered.beside(bits, sizes, [group])
+    per = lambda c: F.round(F.col("total_bits") / F.col(c), 4)
+    return both.select(group, "windows", F.col("total_chars").alias("total_tokens"), "total_bits", per("total_chars").alias("bits_per_token"), F.round(F.col("total_bytes") * 8 / F.col("total_bits"), 4).alias("compression_ratio"))
+
+
+def sequential_bits(train: Sequence[str], test: Sequence[str]) -> float:
+    """Bits of texts one character after another, as :func:`bits_per_char` sums them; to check it on small texts."""
+    pairs: dict[tuple[str, str], int] = {}
+    first: dict[str, int] = {}
+    for t in train:
+        for a, b in zip(t, t[1:]):
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+            first[a] = first.get(a, 0) + 1
+    size = len(set("".join([*train, *test])))
+    total = 0.0
+    for t in test:
+        total += np.log2(size) if t else 0.0
+        total -= sum(np.log2((pairs.get((a, b), 0) + 1) / (first.get(a, 0) + size)) for a, b in zip(t, t[1:]))
+    return float(total)
+
+
 def perplexity(bits: DataFrame, group: str = "lang") -> DataFrame:
     """Perplexity for each character, exp of the mean negative log likelihood."""
     return bits.select(group, F.round(F.pow(F.lit(2.0), F.col("total_bits") / F.col("total_chars")), 3).alias("perplexity"))
 
 
+def generated(train: DataFrame, chars: int, seed: int = 42, group: str = "lang", text: str = "text") -> DataFrame:
+    """A text of ``chars`` characters of each language, sampled from its bigrams; the same for the same seed. (group, text)"""
+    learned = bigrams(train, text, group)
+    kind = train.schema[group].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        random = np.random.default_rng(seed)
+        table = {a: (g["b"].to_numpy(), np.cumsum(g["n"].to_numpy())) for a, g in pdf.sort_values(["a", "b"]).groupby("a")}
+        starts = sorted(table)
+        out = [starts[0]]
+        for x in random.random(chars - 1):
+            following, total = table.get(out[-1]) or table[starts[0]]
+            out.append(following[np.searchsorted(total, x * total[-1], "right")])
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "text": ["".join(out)]})
+
+    return learned.groupBy(group).applyInPandas(run, f"{group} {kind}, text string")
+
+
 def learning_rate(step: DataFrame, rate: float, warmup: int, steps: int) -> DataFrame:
     """Linear warm-up and decay at each optimizer step, as an expression."""
     s = F.col("step")

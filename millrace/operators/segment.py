@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PRIVATE_USE, SPACE_MARK
@@ -36,6 +36,14 @@ def pua_map(vocabulary: DataFrame, group: str = "lang") -> DataFrame:
     return ranked.select(group, "akshara", point.cast("long").alias("cp"))
 
 
+def load_map(spark: SparkSession, path: str, group: str = "lang") -> DataFrame:
+    """A stored map; raises if two syllables of a language share a code point."""
+    mapping = spark.read.schema(f"{group} string, akshara string, cp long").json(path)
+    if mapping.groupBy(group, "cp").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"{path}: a code point stands for two syllables")
+    return mapping
+
+
 def _table(mapping: DataFrame, group: str) -> dict[str, dict[str, str]]:
     """The characters of each language's syllables: at most as many as there are private use code points."""
     out: dict[str, dict[str, str]] = {}
@@ -44,9 +52,11 @@ def _table(mapping: DataFrame, group: str) -> dict[str, dict[str, str]]:
     return out
 
 
-def remap(segmented: DataFrame, mapping: DataFrame, group: str = "lang") -> DataFrame:
+def remap(segmented: DataFrame, mapping: DataFrame, group: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """Text in which each mapped segment is one private use character; a space mark is a space again.
 
+    Columns ``keep`` come along.
+
     A lookup in a SQL map walks through its entries; here it is a hash lookup in
     Arrow batches.
     """
@@ -58,7 +68,7 @@ def remap(segmented: DataFrame, mapping: DataFrame, group: str = "lang") -> Data
         maps = [table.value.get(g, plain) for g in groups]
         return pd.Series([None if s is None else "".join([m.get(x, x) for x in s]) for s, m in zip(segments, maps)], dtype=object)
 
-    return segmented.select("doc_id", group, joined("segments", group).alias("remapped"))
+    return segmented.select("doc_id", group, *keep, joined("segments", group).alias("remapped"))
 
 
 def unmap(remapped: DataFrame, mapping: DataFrame, group: str = "lang") -> DataFrame:
@@ -99,11 +109,12 @@ def merge_pair(symbols: Column, a: str, b: str) -> Column:
 def train_merges(words: DataFrame, merges: int, every: int = 20) -> list[tuple[str, str]]:
     """Byte-pair merges learned from (word, n): the most frequent pair first, ties by text.
 
-    Only the word table is rewritten; one pair a round comes to the driver.  The
-    lineage is cut by a checkpoint after each few rounds.
+    Only the word table is rewritten; one pair a round comes to the driver.  Each
+    round's table is held, so that a round does not repeat those before it; its
+    lineage is cut by a checkpoint after each few rounds where a folder is set.
     """
     spark = words.sparkSession
-    table = words.select(F.lit("all").alias("lang"), F.split("word", "").alias("symbols"), "n").cache()
+    table = words.select(F.lit("all").alias("lang"), F.split("word", "").alias("symbols"), "n").persist()
     found: list[tuple[str, str]] = []
     for i in range(merges):
         best = pair_counts(table).orderBy(F.desc("n"), "a", "b").limit(1).collect()
@@ -111,7 +122,10 @@ def train_merges(words: DataFrame, merges: int, every: int = 20) -> list[tuple[s
             break
         a, b = best[0]["a"], best[0]["b"]
         found.append((a, b))
-        table = table.withColumn("symbols", F.when(F.array_contains("symbols", a), merge_pair(F.col("symbols"), a, b)).otherwise(F.col("symbols")))
+        held = table
+        table = table.withColumn("symbols", F.when(F.array_contains("symbols", a), merge_pair(F.col("symbols"), a, b)).otherwise(F.col("symbols"))).persist()
+        table.count()
+        held.unpersist()
         if i % every == every - 1 and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             table = table.checkpoint()
     return found
@@ -148,6 +162,12 @@ def score_windows(ids: Column, context: int) -> Column:
     return T.let(ids, cut)
 
 
+def context_start(position: Column, context: int) -> Column:
+    """Where the context of an id begins if it grows to twice ``context`` ids and is then cut back to ``context``."""
+    reset = F.floor((position - 2 * context - 1) / (context + 1)) + 1
+    return F.when(position <= 2 * context, F.lit(0)).otherwise(reset * (context + 1)).cast("long")
+
+
 def code_points(text: Column) -> Column:
     """Code points of a text as ids."""
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from ..config import (
     CATEGORY_LINES,
+    CODEC_LEVELS,
     COMPOUND_PREFIXES,
     CONTEXT_TOKENS,
     FILE_LINKS,
     HEADER_LINES,
+    HYBRID_CODECS,
     LATIN,
     MAX_WORDS,
     PURITY_LINES,
@@ -20,8 +22,8 @@ from ..config import (
     WHITE,
     NearDedup,
 )
-from ..operators.report import CODECS, PUBLISHED_SIZES, PUBLISHED_TESTS
-from .queries import BLOCK, LONG_LINE, PACK_BUDGET, PREFIX_BUDGET, QUOTA, TAIL_CHARS
+from ..operators.report import CODECS
+from .queries import BLOCK, COMPLEXITY_NOTES, HOLDOUT_MOST, LONG_LINE, MODEL_CODECS, PACK_BUDGET, PREFERRED_DOCS, PREFIX_BUDGET, QUOTA, TAIL_CHARS
 
 N = NearDedup()
 
@@ -125,10 +127,13 @@ bpc AS (SELECT lang, chars AS total_chars, bytes AS total_bytes, coalesce(inside
 
 
 BPC = f"{SPLIT}, {_pair_tables('train', 'test')}"
-PUBLISHED = f"""
-tests AS (SELECT * FROM (VALUES {', '.join(map(str, PUBLISHED_TESTS))}) t(lang, original_bytes, original_chars)),
-sizes AS (SELECT * FROM (VALUES {', '.join(map(str, PUBLISHED_SIZES))}) t(lang, codec, compressed_bytes)),
-measured AS (SELECT lang, codec, round(original_bytes::DOUBLE / compressed_bytes, 4) AS ratio, round(compressed_bytes * 8.0::DOUBLE / original_chars, 4) AS bpc, round(compressed_bytes * 8.0::DOUBLE / original_bytes, 4) AS bpb FROM sizes JOIN tests USING (lang))"""
+MODELS = f"""{BPC}, {CHARS},
+bytes AS (SELECT lang, symbol, sum(n) AS n FROM (SELECT lang, n, unnest(regexp_extract_all(hex(encode(symbol)), '..')) AS symbol FROM chars) GROUP BY ALL),
+whole AS (SELECT lang, sum(strlen(text))::BIGINT AS original_bytes, sum(length(text))::BIGINT AS original_chars FROM documents GROUP BY lang),
+ideal AS (SELECT lang, codec, ceil(sum(-n * log2(n::DOUBLE / t)) / 8)::BIGINT AS compressed_bytes FROM (
+  SELECT lang, 'characters' AS codec, n, sum(n) OVER (PARTITION BY lang) AS t FROM chars UNION ALL SELECT lang, 'bytes', n, sum(n) OVER (PARTITION BY lang) FROM bytes) GROUP BY ALL),
+sizes AS (SELECT lang, codec, original_bytes, original_chars, compressed_bytes FROM ideal JOIN whole USING (lang) UNION ALL SELECT lang, 'bigram', total_bytes, total_chars, ceil(total_bits / 8)::BIGINT FROM bpc),
+measured AS (SELECT lang, codec, round(original_bytes::DOUBLE / compressed_bytes, 4) AS ratio, round(compressed_bytes * 8.0::DOUBLE / original_chars, 4) AS bpc, round(compressed_bytes * 8.0::DOUBLE / original_bytes, 4) AS bpb FROM sizes)"""
 
 
 def _running(source: str, group: str, order: str, value: str) -> str:
@@ -240,20 +245,44 @@ SELECT doc_id, md5(array_to_string(list_transform(ws, lambda w: CASE WHEN length
 FROM (SELECT doc_id, text, CASE WHEN length(text) >= 2 THEN range(0, length(text) - 1, {CONTEXT_TOKENS - 1}) ELSE [] END AS s FROM documents)""",
     "bpe_pair_counts": f"""WITH f AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest({_words('text')}) AS w FROM documents) GROUP BY ALL),
 p AS (SELECT lang, n, substr(w, i, 1) AS a, substr(w, i + 1, 1) AS b FROM (SELECT lang, w, n, unnest(range(1, length(w))) AS i FROM f)) SELECT lang, a, b, sum(n)::BIGINT AS n FROM p GROUP BY ALL""",
-    "novel_pieces": f"""WITH {DEVA}, w AS (SELECT DISTINCT lang, unnest({_words('text')}) AS piece FROM deva), c AS (SELECT piece, len(regexp_extract_all(piece, '{SEGMENT}')) AS aksharas FROM w WHERE lang = 'de' AND piece NOT IN (SELECT piece FROM w WHERE lang = 'en'))
+    "novel_pieces": f"""WITH {DEVA}, w AS (SELECT DISTINCT lang, unnest({_words('text')}) AS piece FROM deva), c AS (SELECT DISTINCT piece, len(regexp_extract_all(piece, '{SEGMENT}')) AS aksharas FROM w WHERE lang <> 'en' AND piece NOT IN (SELECT piece FROM w WHERE lang = 'en'))
 SELECT piece, aksharas FROM c WHERE aksharas >= 2 ORDER BY aksharas DESC, piece LIMIT 4000""",
     "quantized_cdf": f"""WITH {CHARS}, q AS (SELECT lang, symbol, greatest(floor(n::DOUBLE / sum(n) OVER (PARTITION BY lang) * 16777216), 1)::BIGINT AS c FROM chars),
 o AS (SELECT *, 16777216 - sum(c) OVER (PARTITION BY lang) AS over, row_number() OVER (PARTITION BY lang ORDER BY c DESC, symbol) AS r FROM q),
 d AS (SELECT lang, symbol, (CASE WHEN r = 1 THEN c + over ELSE c END)::BIGINT AS count FROM o)
 SELECT lang, symbol, count, (sum(count) OVER (PARTITION BY lang ORDER BY symbol ROWS UNBOUNDED PRECEDING))::BIGINT AS cumulative FROM d""",
-    "codec_metrics": f"WITH {PUBLISHED} SELECT * FROM measured",
-    "codec_master_table": f"WITH {PUBLISHED} SELECT lang, {', '.join(f'''coalesce(max(CASE WHEN codec = '{c}' THEN printf('%.4f', bpc) END), 'N/A') AS {c}''' for c in [*CODECS, 'llm'])} FROM measured GROUP BY lang",
-    "best_codec": f"WITH {PUBLISHED} SELECT lang, codec AS best_codec, bpc AS best_bpc FROM measured QUALIFY row_number() OVER (PARTITION BY lang ORDER BY bpc, list_position({CODECS}, codec)) = 1",
+    "codec_metrics": f"WITH {MODELS} SELECT * FROM measured",
+    "codec_master_table": f"WITH {MODELS} SELECT lang, {', '.join(f'''coalesce(max(CASE WHEN codec = '{c}' THEN printf('%.4f', bpc) END), 'N/A') AS {c}''' for c in [*MODEL_CODECS, 'llm'])} FROM measured GROUP BY lang",
+    "best_codec": f"WITH {MODELS} SELECT lang, codec AS best_codec, bpc AS best_bpc FROM measured QUALIFY row_number() OVER (PARTITION BY lang ORDER BY bpc, list_position({MODEL_CODECS}, codec)) = 1",
     "crosslingual_join": f"WITH {WORDS}, {BPC}, {CHARS}, e AS ({ENTROPY.format('chars')}) SELECT lang, word_count, type_count, type_token_ratio, bpc, entropy FROM complexity JOIN bpc USING (lang) JOIN e USING (lang)",
-    "markdown_report": f"""WITH {PUBLISHED} SELECT lang, '## ' || upper(lang[1]) || lang[2:] || chr(10) || chr(10) || '| Compressor | Ratio | BPC | BPB |' || chr(10) || '|---|---|---|---|' || chr(10) ||
+    "markdown_report": f"""WITH {MODELS} SELECT lang, '## ' || upper(lang[1]) || lang[2:] || chr(10) || chr(10) || '| Compressor | Ratio | BPC | BPB |' || chr(10) || '|---|---|---|---|' || chr(10) ||
   string_agg(printf('| %s | %.3f | %.3f | %.3f |', codec, ratio, bpc, bpb), chr(10) ORDER BY codec) AS markdown FROM measured GROUP BY lang""",
     "subtoken_mean_init": "SELECT token, dim, round(avg(x), 4) AS mean FROM (SELECT label::BIGINT AS token, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL",
     "corpus_size_report": f"""WITH {STATUS}, {SPLIT}, r AS (SELECT lang, sum(strlen(text)) AS raw, sum(CASE WHEN split = 'train' THEN strlen(text) ELSE 0 END) AS train, sum(CASE WHEN split = 'test' THEN strlen(text) ELSE 0 END) AS test FROM split GROUP BY lang),
 c AS (SELECT lang, sum(strlen(cleaned)) AS clean FROM status WHERE status = 'keep' GROUP BY lang)
 SELECT lang, round(raw::DOUBLE / {MB}, 4) AS raw_mb, round(clean::DOUBLE / {MB}, 4) AS clean_mb, round(train::DOUBLE / {MB}, 4) AS train_mb, round(test::DOUBLE / {MB}, 4) AS test_mb FROM r LEFT JOIN c USING (lang)""",
+    "codec_round_trips": f"SELECT doc_id, unnest({[*CODEC_LEVELS, *HYBRID_CODECS]}) AS codec, coalesce(strlen(text), 0) AS original_bytes, coalesce(length(text), 0) AS original_chars, true AS round_trip, CAST(NULL AS VARCHAR) AS error FROM documents",
+    "language_codec_inputs": f"""SELECT lang, unnest({CODECS}) AS codec, b AS original_bytes, c AS original_chars, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT lang, (sum(coalesce(strlen(text), 0)) + 2 * (count(*) - 1))::BIGINT AS b, (sum(coalesce(length(text), 0)) + 2 * (count(*) - 1))::BIGINT AS c FROM documents GROUP BY lang)""",
+    "tokenizer_markdown": f"""WITH {SENTENCES}, {METRICS} SELECT lang, '## ' || upper(lang[1]) || lang[2:] || chr(10) || chr(10) || '| Tokenizer | Tokens/Sent | Tok/Char | Vowel Split % |' || chr(10) || '|---|---|---|---|' || chr(10) ||
+  string_agg('| ' || tokenizer || ' | ' || printf('%.2f', avg_tokens_per_sentence) || ' | ' || printf('%.4f', tokens_per_char) || ' | ' || coalesce(printf('%.2f', vowel_split_pct) || '%', '-') || ' |', chr(10) ORDER BY tokenizer) AS markdown FROM m GROUP BY lang""",
+    "result_preference": f"""WITH {MODELS}, many AS (SELECT lang FROM documents GROUP BY lang HAVING count(*) >= {PREFERRED_DOCS})
+SELECT lang, codec, bpc, CASE WHEN codec = 'bigram' THEN 1 ELSE 2 END::INT AS origin FROM measured
+WHERE codec = 'bigram' AND lang IN (SELECT lang FROM many) OR codec = 'characters' AND lang NOT IN (SELECT lang FROM many JOIN bpc USING (lang))""",
+    "windowed_bpc": f"""WITH {BPC}, w AS (SELECT lang, sum(CASE WHEN length(text) >= 2 THEN (length(text) - 2) // {CONTEXT_TOKENS - 1} + 1 ELSE 0 END)::BIGINT AS windows FROM split WHERE split = 'test' AND length(text) > 0 GROUP BY lang)
+SELECT lang, windows, total_chars AS total_tokens, total_bits, round(total_bits / total_chars, 4) AS bits_per_token, round(total_bytes * 8 / total_bits, 4) AS compression_ratio FROM bpc JOIN w USING (lang)""",
+    "context_schedule": f"""WITH p AS (SELECT doc_id, unnest(range(1, length(text))) AS i FROM documents),
+c AS (SELECT doc_id, i - CASE WHEN i <= {2 * CONTEXT_TOKENS} THEN 0 ELSE ((i - {2 * CONTEXT_TOKENS + 1}) // {CONTEXT_TOKENS + 1} + 1) * {CONTEXT_TOKENS + 1} END AS c FROM p)
+SELECT doc_id, coalesce(sum(c), 0)::BIGINT AS context_ids, coalesce(max(c), 0)::BIGINT AS longest FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""",
+    "holdout_split": f"""WITH r AS (SELECT doc_id, lang, text, length(text) AS c, sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS e, sum(length(text)) OVER (PARTITION BY lang) AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, e - c AS b, CASE WHEN w > {TAIL_CHARS} THEN w - {TAIL_CHARS} ELSE w END AS cut FROM r),
+p AS (SELECT doc_id, lang, text, b, e, 'train' AS part, 0::HUGEINT AS low, least(cut, {HOLDOUT_MOST}) AS high FROM k UNION ALL SELECT doc_id, lang, text, b, e, 'eval', cut, w FROM k)
+SELECT doc_id, lang, part, (least(high, e) - greatest(low, b))::BIGINT AS chars, md5(substr(text, (greatest(low - b, 0) + 1)::BIGINT, (least(high, e) - greatest(low, b))::BIGINT)) AS part_md5 FROM p WHERE least(high, e) > greatest(low, b)""",
+    "near_dedup_stats": f"""WITH {PAIRS}, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS id FROM signed), gone AS (SELECT doc_id FROM c WHERE doc_id <> id OR id IN (SELECT b FROM near))
+SELECT lang, count(*) AS documents, count_if(doc_id IN (SELECT doc_id FROM gone))::BIGINT AS near_duplicates FROM documents GROUP BY lang""",
+    "complexity_record": f"""WITH {WORDS}, {CHARS}, e AS ({ENTROPY.format('chars')}) SELECT c.*, e.entropy AS char_entropy, CASE {' '.join(f"WHEN lang = '{k}' THEN '{v}'" for k, v in COMPLEXITY_NOTES.items())} ELSE '' END AS complexity_notes FROM complexity c JOIN e USING (lang)""",
+    "tokenizer_sweep_inputs": f"""WITH {DEVA}, l AS (SELECT lang, array_to_string({_words('line')}, ' ') AS s FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM deva)),
+k AS (SELECT lang, count(*) AS sentences, sum(length(s))::BIGINT AS total_chars FROM l WHERE length(s) > 20 GROUP BY lang) SELECT lang, unnest(['sp_bpe', 'sp_unigram', 'akshara_bpe']) AS tokenizer, sentences, total_chars FROM k""",
+    "akshara_bpe_roundtrip": f"""WITH {DEVA}, l AS (SELECT lang, array_to_string({_words('line')}, ' ') AS s FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM deva))
+SELECT lang, count(*) AS sentences, count(*) AS round_trips FROM l WHERE length(s) > 20 GROUP BY lang""",
 }

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CONTEXT_TOKENS, LATIN, SEED
+from ..config import CODEC_LEVELS, CONTEXT_TOKENS, HYBRID_CODECS, LATIN, SEED
 from ..functions import text as T
-from ..operators import coding, curate, metrics, ngram, report, sample, segment
+from ..operators import coding, curate, metrics, ngram, report, sample, segment, tokenizers
 
 #: Budgets and thresholds that are meaningful on the test tables.
 LONG_LINE, PACK_BUDGET, QUOTA, PREFIX_BUDGET, TAIL_CHARS, BLOCK = 2000, 200_000, 300_000, 150_000, 50_000, 128
+HOLDOUT_MOST, PREFERRED_DOCS = 1_000_000, 120
+#: Codecs that are ideal coders of a model.
+MODEL_CODECS = ["characters", "bytes", "bigram"]
+COMPLEXITY_NOTES = {"en": "few inflected forms", "fr": "inflected verbs, elision", "de": "compounds, cases", "es": "inflected verbs"}
+#: A small vocabulary, as the tables are small.
+TRAINING = tokenizers.Training(vocab_size=2_000)
+#: A tokenizer file that may be there; where it is not, its metrics are an error record.
+TOKENIZER_FILE = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -271,8 +279,8 @@ def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def novel_pieces(spark: SparkSession, d: str) -> DataFrame:
     words = segment.word_frequencies(_deva(spark, d), F.col("text"))
-    piece = lambda lang: words.where(F.col("lang") == lang).select(F.col("word").alias("piece"))
-    return segment.novel_pieces(piece("de"), piece("en"))
+    piece = lambda which: words.where(which).select(F.col("word").alias("piece"))
+    return segment.novel_pieces(piece("lang != 'en'"), piece("lang = 'en'"))
 
 
 def quantized_cdf(spark: SparkSession, d: str) -> DataFrame:
@@ -291,8 +299,28 @@ def hybrid_codecs(spark: SparkSession, d: str) -> DataFrame:
     return coding.compress_documents(_docs(spark, d).repartition(ordered_parts(spark), "doc_id"), ["gzip_bzip2", "gzip_lzma"]).drop("time_s")
 
 
+def codec_round_trips(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).repartition(ordered_parts(spark), "doc_id")
+    return coding.compress_documents(docs).select("doc_id", "codec", "original_bytes", "original_chars", "round_trip", "error")
+
+
 def language_codecs(spark: SparkSession, d: str) -> DataFrame:
-    return report.with_metrics(coding.compress_groups(_docs(spark, d), ["gzip", "bzip2", "lzma", "zstd"]))
+    return report.with_metrics(coding.compress_groups(_docs(spark, d), report.CODECS)).drop("time_s")
+
+
+def language_codec_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return coding.compress_groups(_docs(spark, d), report.CODECS).select("lang", "codec", "original_bytes", "original_chars", "error")
+
+
+def language_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    sizes = report.with_metrics(coding.compress_groups(docs, [*CODEC_LEVELS, *HYBRID_CODECS])).drop("time_s")
+    entropy = lambda counts, name: metrics.entropy(counts).select("lang", F.col("entropy").alias(name))
+    return sizes.join(entropy(metrics.char_counts(docs), "char_entropy"), "lang").join(entropy(metrics.byte_counts(docs), "byte_entropy"), "lang")
+
+
+def _model_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return report.with_metrics(ngram.model_sizes(_docs(spark, d), _bigram_bits(spark, d)))
 
 
 def ordered_parts(spark: SparkSession) -> int:
@@ -301,15 +329,15 @@ def ordered_parts(spark: SparkSession) -> int:
 
 
 def codec_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return report.with_metrics(report.published(spark)).select("lang", "codec", "ratio", "bpc", "bpb")
+    return _model_sizes(spark, d).select("lang", "codec", "ratio", "bpc", "bpb")
 
 
 def codec_master_table(spark: SparkSession, d: str) -> DataFrame:
-    return report.master_table(report.with_metrics(report.published(spark)), [*report.CODECS, "llm"])
+    return report.master_table(_model_sizes(spark, d), [*MODEL_CODECS, "llm"])
 
 
 def best_codec(spark: SparkSession, d: str) -> DataFrame:
-    return report.best_codec(report.with_metrics(report.published(spark)))
+    return report.best_codec(_model_sizes(spark, d), MODEL_CODECS)
 
 
 def crosslingual_join(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +346,7 @@ def crosslingual_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.markdown(report.with_metrics(report.published(spark)))
+    return report.markdown(_model_sizes(spark, d))
 
 
 def subtoken_mean_init(spark: SparkSession, d: str) -> DataFrame:
@@ -335,6 +363,79 @@ def corpus_size_report(spark: SparkSession, d: str) -> DataFrame:
     return report.size_report(raw.union(clean).union(split))
 
 
+def tokenizer_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return report.markdown_tokenizers(matra_split_rate(spark, d))
+
+
+def result_preference(spark: SparkSession, d: str) -> DataFrame:
+    """Bits for each character from the bigram model for languages with many documents, from single characters for the others."""
+    docs = _docs(spark, d)
+    sizes = _model_sizes(spark, d).select("lang", "codec", "bpc")
+    many = docs.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= PREFERRED_DOCS).select("lang")
+    return report.preferred(sizes.where("codec = 'bigram'").join(many, "lang", "left_semi"), sizes.where("codec = 'characters'"))
+
+
+def windowed_bpc(spark: SparkSession, d: str) -> DataFrame:
+    test = sample.mark_split(_docs(spark, d).select("doc_id", "lang", "text")).where("split = 'test'")
+    return ngram.windowed(test, _bigram_bits(spark, d), CONTEXT_TOKENS)
+
+
+def context_schedule(spark: SparkSession, d: str) -> DataFrame:
+    n = F.length("text")
+    seen = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: i - segment.context_start(i, CONTEXT_TOKENS))).otherwise(F.array().cast("array<bigint>"))
+    total = F.aggregate(seen, F.lit(0).cast("long"), lambda s, x: s + x)
+    return _docs(spark, d).select("doc_id", total.alias("context_ids"), F.coalesce(F.array_max(seen), F.lit(0)).cast("long").alias("longest"))
+
+
+def holdout_split(spark: SparkSession, d: str) -> DataFrame:
+    return sample.holdout(_docs(spark, d), TAIL_CHARS, HOLDOUT_MOST).select("doc_id", "lang", "part", "chars", F.md5("text").alias("part_md5"))
+
+
+def near_dedup_stats(spark: SparkSession, d: str) -> DataFrame:
+    return curate.near_dedup_stats(_docs(spark, d))
+
+
+def complexity_record(spark: SparkSession, d: str) -> DataFrame:
+    return report.with_notes(complexity_profile(spark, d), COMPLEXITY_NOTES)
+
+
+def _sentences(spark: SparkSession, d: str, longer_than: int = 20) -> DataFrame:
+    """Lines of the translated documents as sentences, white space as single blanks."""
+    lines = curate.lines_of(_deva(spark, d)).withColumn("sentence", F.array_join(T.words(F.col("line")), " "))
+    return lines.where(F.length("sentence") > longer_than).select("lang", "sentence")
+
+
+def tokenizer_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizers.sweep(_deva(spark, d), _sentences(spark, d), {"byte_level_49k": TOKENIZER_FILE}, TRAINING)
+
+
+def tokenizer_sweep_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizers.sweep(_deva(spark, d), _sentences(spark, d), None, TRAINING).select("lang", "tokenizer", "sentences", "total_chars")
+
+
+def tokenizer_improvement(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizers.compared(tokenizers.sweep(_deva(spark, d), _sentences(spark, d), None, TRAINING))
+
+
+def akshara_bpe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    docs = _deva(spark, d)
+    mapping = tokenizers.corpus_mapping(docs, F.col("text"))
+    models = tokenizers.train_akshara(tokenizers.word_counts(docs, F.col("text")), mapping, TRAINING)
+    rows = tokenizers.encoded(_sentences(spark, d), "sentence", models, mapping)
+    return rows.groupBy("lang").agg(F.count("*").alias("sentences"), F.count_if("roundtrip_ok").alias("round_trips"))
+
+
+def sandhi_ablation(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizers.sandhi_ablation(_deva(spark, d), _sentences(spark, d), TRAINING)
+
+
+def novel_merges(spark: SparkSession, d: str) -> DataFrame:
+    docs = _deva(spark, d)
+    mapping = tokenizers.corpus_mapping(docs, F.col("text"))
+    models = tokenizers.train_akshara(tokenizers.word_counts(docs, F.col("text")), mapping, TRAINING)
+    return tokenizers.novel_merges(tokenizers.vocabulary_pieces(models, mapping), list)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -345,6 +446,8 @@ QUERIES = {
         avg_word_length, hapax_ratio, complexity_ranking, ngram_bpc, ngram_perplexity, akshara_segments, akshara_vocab, pua_map, pua_remap,
         pua_roundtrip, matra_split_rate, tokenizer_comparison, sandhi_split, token_blocks, score_windows, bpe_pair_counts, novel_pieces, quantized_cdf,
         arith_roundtrip, classical_codecs, hybrid_codecs, language_codecs, codec_metrics, codec_master_table, best_codec, crosslingual_join,
-        markdown_report, subtoken_mean_init, corpus_size_report,
+        markdown_report, subtoken_mean_init, corpus_size_report, codec_round_trips, language_codec_inputs, language_benchmark, tokenizer_markdown,
+        result_preference, windowed_bpc, context_schedule, holdout_split, near_dedup_stats, complexity_record, tokenizer_sweep, tokenizer_sweep_inputs,
+        tokenizer_improvement, akshara_bpe_roundtrip, sandhi_ablation, novel_merges,
     )
 }

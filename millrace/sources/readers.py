@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions import text as T
+from ..operators import sample
 
 PAGE = S.StructType(
     [
@@ -28,16 +29,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p) and fs.getContentSummary(p).getLength() > 0)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder was written to its end; what a killed job left is not complete."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def within_target(rows: DataFrame, target: int | None, text: str = "text") -> DataFrame:
+    """Rows in the order in which they are read until their texts have ``target`` bytes, each with a blank line; the one that crosses it is in."""
+    if target is None:
+        return rows
+    placed = rows.withColumns({"__place": F.monotonically_increasing_id(), "__all": F.lit(0), "__size": (F.octet_length(text) + 2).cast("long")})
+    return sample.within_budget(placed, ["__all"], ["__place"], "__size", target).drop("__place", "__all", "__size")
+
+
 def first_source(spark: SparkSession, candidates: Sequence[str]) -> str | None:
     """The first path that exists and is not empty; None is the caller's sign to skip."""
     return next((c for c in candidates if exists(spark, c)), None)
 
 
-def wiki_articles(spark: SparkSession, path: str, longer_than: int = 50) -> DataFrame:
-    """Plain text of the articles of a MediaWiki dump: (title, text), long ones before and after stripping."""
+def wiki_articles(spark: SparkSession, path: str, longer_than: int = 50, target: int | None = None) -> DataFrame:
+    """Plain text of the articles of a MediaWiki dump: (title, text), long ones before and after stripping, up to ``target`` bytes."""
     raw = spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
     pages = raw.select("title", F.col("revision.text._VALUE").alias("markup")).where(F.length("markup") > longer_than)
-    return pages.select("title", T.strip_wiki_markup(F.col("markup")).alias("text")).where(F.length("text") > longer_than)
+    return within_target(pages.select("title", T.strip_wiki_markup(F.col("markup")).alias("text")).where(F.length("text") > longer_than), target)
 
 
 def tei_body(xml: bytes | str) -> str:
@@ -51,8 +67,8 @@ def tei_body(xml: bytes | str) -> str:
     return "\n".join(t.strip() for t in (root if found is None else found).itertext() if t.strip())
 
 
-def tei_texts(spark: SparkSession, plain: str | None, xml: str | None, longer_than: int = 100) -> DataFrame:
-    """Texts of plain and XML editions, plain ones first: (source_ord, path, text)."""
+def tei_texts(spark: SparkSession, plain: str | None, xml: str | None, longer_than: int = 100, target: int | None = None) -> DataFrame:
+    """Texts of plain and XML editions, plain ones first: (source_ord, path, text), up to ``target`` bytes, so XML ones only if plain ones leave room."""
     parts = []
     if plain:
         rows = spark.read.text(plain, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
@@ -68,7 +84,7 @@ def tei_texts(spark: SparkSession, plain: str | None, xml: str | None, longer_th
     if not parts:
         return spark.createDataFrame([], "source_ord int, path string, text string")
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.where(F.length("text") > longer_than)
+    return within_target(out.where(F.length("text") > longer_than), target)
 
 
 def text_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
@@ -99,6 +115,7 @@ def export_text(rows: DataFrame, path: str, text: str = "text") -> None:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, nulls left out; what was there goes."""
     rows.write.mode("overwrite").json(path)
 
 

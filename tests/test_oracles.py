@@ -12,7 +12,7 @@ import pytest
 from millrace.plans.catalog import ORACLES, QUERIES
 
 #: Queries without SQL: sequential state or codecs.
-NO_SQL = {"near_dedup_sequential", "arith_roundtrip", "classical_codecs", "hybrid_codecs", "language_codecs"}
+NO_SQL = {"near_dedup_sequential", "arith_roundtrip", "classical_codecs", "hybrid_codecs", "language_codecs", "language_benchmark", "tokenizer_sweep", "tokenizer_improvement", "sandhi_ablation", "novel_merges"}
 
 
 @pytest.fixture(scope="module")
