@@ -201,7 +201,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap(), text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The documents that overlap with no benchmark item, with all their columns."""
+    """The documents that overlap with no benchmark item, with all their columns.
+
+    Null and empty texts overlap with nothing and stay; rows that repeat are
+    judged alike.
+    """
     small_batches(docs.sparkSession)
     out = docs
     for index in _blocks(benchmark, rule, item_id, "text"):

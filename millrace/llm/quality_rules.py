@@ -304,7 +304,11 @@ def judge(docs: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", te
 
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns.
+
+    Null, empty and blank texts fail the base rule and go; rows that repeat are
+    judged alike.
+    """
     names = docs.columns
     return _judged(docs, limits, text, lang, lambda part, c: part.select(names).filter(pa.array(c["kept"])), docs.schema)
 

@@ -224,3 +224,49 @@ def interpolated(rows: list[tuple[int | None, str | None]], deleted_in: int, rou
             total += math.log10(w[0] * two[a, b] / max(one[a], 1) + w[1] * one[b] / max(n, 1) + w[2] / (v + 1))
         out.append(total)
     return out
+
+
+# -- the pipeline ------------------------------------------------------------------
+
+
+def cut(texts: list[str | None], length: int, width: int) -> list[str | None]:
+    """Texts without strings of ``length`` bytes, and without windows of ``width`` words, that occur twice or more; characters go whole."""
+    raw = [(t or "").encode() for t in texts]
+    spans = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
+    window = lambda b, s, i: tuple(b[x:y] for x, y in s[i : i + width])
+    strings = collections.Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
+    windows = collections.Counter(window(b, s, i) for b, s in zip(raw, spans) for i in range(len(s) - width + 1))
+    out: list[str | None] = []
+    for t, b, s in zip(texts, raw, spans):
+        mark = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if strings[b[p : p + length]] > 1:
+                mark[p : p + length] = b"\1" * length
+        for i in range(len(s) - width + 1):
+            if windows[window(b, s, i)] > 1:
+                mark[s[i][0] : s[i + width - 1][1]] = b"\1" * (s[i + width - 1][1] - s[i][0])
+        left, p = [], 0
+        for c in t or "":
+            n = len(c.encode())
+            if not all(mark[p : p + n]):
+                left.append(c)
+            p += n
+        out.append(None if t is None else "".join(left))
+    return out
+
+
+def leaks(doc: list[str], item: list[str], masks: tuple[str, ...], least: float) -> bool:
+    """Whether a diagonal with a seed has a stretch of so many agreeing words, four fifths of it or more."""
+    places = collections.defaultdict(list)
+    for k, w in enumerate(item):
+        places[w].append(k)
+    diagonals = collections.Counter(i - k for i, w in enumerate(doc) for k in places.get(w, ()))
+    for shift, n in diagonals.items():
+        if n < least:
+            continue
+        first, last = max(shift, 0), min(shift + len(item), len(doc))
+        same = [doc[k] == item[k - shift] for k in range(first, last)]
+        seeded = any(all(same[i + k] for k, c in enumerate(m) if c == "1") for m in masks for i in range(len(same) - len(m) + 1))
+        if seeded and any(sum(same[i:j]) >= least and 5 * sum(same[i:j]) >= 4 * (j - i) for i in range(len(same)) for j in range(i + 1, len(same) + 1)):
+            return True
+    return False

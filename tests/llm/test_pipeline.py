@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import decontam, oracles
 
 from . import data
 
@@ -26,6 +29,55 @@ def test_stages(spark, tables, pipeline):
     assert {r["doc_id"] for r in out} == ids and all(r["n_tokens"] == len(r["ids"]) and r["round_trip"] for r in out)
 
 
+def test_stages_equal_plain_versions(spark, tables, pipeline):
+    """Each stage on its own input against SQL or a plain version of it, and run() against all of them in a row."""
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tables}/documents.parquet'")
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    assert len(rows) == docs.count()
+
+    got = pipeline.quality(spark, docs, tables)
+    want = {r[0] for r in c.sql(f"select doc_id from ({oracles.quality_rules_sql()}) where kept").fetchall()}
+    assert {r["doc_id"] for r in got.collect()} == want and len(want) > 100
+
+    ids = sorted(want)
+    root = data.components([data.shingles(rows[i]["text"]) for i in ids], 80)
+    want = [ids[k] for k in sorted(set(root))]
+    got = pipeline.near_dedup(spark, docs.where(F.col("doc_id").isin(ids)), tables).collect()
+    assert sorted(r["doc_id"] for r in got) == want and 100 < len(want) < len(ids) and all(tuple(r) == tuple(rows[r["doc_id"]]) for r in got)
+
+    texts = dict(zip(want, data.cut([rows[i]["text"] for i in want], 280, 51)))
+    third = pipeline.repeat_removal(spark, docs.where(F.col("doc_id").isin(want)), tables)
+    assert {r["doc_id"]: r["text"] for r in third.collect()} == texts and all(r["n_chars"] == len(r["text"]) for r in third.collect())
+    assert sum(texts[i] != rows[i]["text"] for i in want) > 3
+
+    items = [data.tokens(r["text"]) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    masks = lambda item: (*decontam.MASKS, "1" * len(item)) if len(item) < max(map(len, decontam.MASKS)) else decontam.MASKS
+    bad = {i for i in want if any(len(item) >= 4 and data.leaks(data.tokens(texts[i]), item, masks(item), min(12, 0.8 * len(item))) for item in items)}
+    fourth = pipeline.decontamination(spark, third, tables)
+    assert {r["doc_id"] for r in fourth.collect()} == set(want) - bad
+
+    out = pipeline.run(spark, tables).collect()
+    assert {r["doc_id"]: r["decoded"] for r in out} == {i: texts[i].replace("▁", " ") for i in want if i not in bad}
+    assert all(r["n_tokens"] == len(r["ids"]) and r["round_trip"] for r in out)
+    one = spark.createDataFrame([(i, texts[i]) for i in want if i not in bad], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["ids"]) for r in out) == sorted((r["doc_id"], r["ids"]) for r in pipeline.tokens(spark, one, tables).collect())
+
+
+def test_run_leaves_one_table(spark, tables, pipeline):
+    from millrace.llm.textbatch import shared_folder
+
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
+    listed = lambda: {str(f.getPath()) for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)}
+    pipeline.run(spark, tables).count()
+    before = listed()
+    pipeline.run(spark, tables).count()
+    assert len(listed() - before) == 1  # what the last stage reads
+
+
 def test_stages_take_awkward_rows(spark, tables, pipeline):
     docs = spark.createDataFrame(data.documents(), data.SCHEMA)
     for rows in (docs, docs.where("false")):
