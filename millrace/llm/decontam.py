@@ -8,7 +8,9 @@ along the diagonal the stretch with most agreeing words is taken, of all those
 with the least share of them, and verified against a least number of words.
 
 The benchmark is a stated query set.  It is read in blocks of bounded size, and
-a block's index, never the documents, goes to the workers.
+the blocks' indexes, never the documents, go to the workers.  Documents are read
+once, whatever the number of blocks: a worker holds the token hashes of a chunk
+of documents and takes one block after another from its machine's disk.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import _GOLD, Texts, mix, slices, small_batches
+from .textbatch import _GOLD, Texts, mix, seg_sum, slices, small_batches
 
 _U = np.uint64
 
@@ -32,11 +34,19 @@ MASKS = ("11011", "1101001", "11100101", "1010011001")
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in ".,;:!?'\"()[]{}-_*"]] = True
 BITMAP_BITS = 22
+#: Seed hits, and words along diagonals, that are looked at together.
+HITS = 1 << 21
+#: Bytes of text that all blocks are compared with before the next ones are read.
+CHUNK_BYTES = 24 << 20
 
 
 @dataclass(frozen=True)
 class Overlap:
-    """Least verified overlap: ``words`` agreeing words, or the whole of a shorter item, with at least ``share`` of its stretch agreeing."""
+    """Least verified overlap: ``words`` agreeing words, or the whole of a shorter item, with at least ``share`` of its stretch agreeing.
+
+    ``block_tokens``: about how many words of items a worker has at a time; an
+    item is not divided.
+    """
 
     words: int = 12
     share: float = 0.8
@@ -76,6 +86,10 @@ class Index:
         o = texts.word_offsets
         self.item_id = [i for i, _ in items]
         self.tokens = [h[o[k] : o[k + 1]] for k in range(len(items))]
+        self.size = np.array([len(t) for t in self.tokens], np.int64)
+        self.flat = np.concatenate([*self.tokens, np.zeros(0, _U)])
+        self.first = np.cumsum(self.size) - self.size
+        self.least = np.minimum(rule.words, rule.share * self.size)
         short = sorted({len(t) for t in self.tokens if rule.min_item_words <= len(t) < max(map(len, MASKS))})
         self.masks = [*MASKS, *("1" * n for n in short)]
         keys, where, places = [], [], []
@@ -98,20 +112,45 @@ class Index:
 
     def candidates(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (document, item, diagonal) of all seed hits; diagonals count words of the slice."""
-        found = []
+        found = [np.zeros((0, 3), np.int64)]
         for salt, mask in enumerate(self.masks):
             s = seeds(h, mask, salt)
             at = np.flatnonzero(self.bitmap[(s & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)])
             at = at[doc[at] == doc[at + len(mask) - 1]]
             low, high = np.searchsorted(self.key, s[at], "left"), np.searchsorted(self.key, s[at], "right")
-            n = high - low
-            at, which = np.repeat(at, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([doc[at], self.item[which], at - self.place[which]], 1))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
+            some = high > low
+            at, low, n = at[some], low[some], (high - low)[some]
+            # a seed of very many items gives very many hits: a part of them at a time
+            for i, j in _parts(n, HITS):
+                k = n[i:j]
+                place, which = np.repeat(at[i:j], k), np.repeat(low[i:j], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                found.append(np.unique(np.stack([doc[place], self.item[which], place - self.place[which]], 1), axis=0))
+                if sum(map(len, found)) > HITS:
+                    found = [np.unique(np.concatenate(found), axis=0)]
         u = np.unique(np.concatenate(found), axis=0)
         return u[:, 0], u[:, 1], u[:, 2]
 
+    def agreeing(self, h: np.ndarray, o: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Words that agree along each diagonal."""
+        first = np.maximum(shift, o[doc])
+        n = np.minimum(shift + self.size[item], o[doc + 1]) - first
+        out = np.zeros(len(doc), np.int64)
+        for i, j in _parts(n, HITS):
+            k = n[i:j]
+            at = np.repeat(first[i:j] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            same = h[at] == self.flat[at + np.repeat(self.first[item[i:j]] - shift[i:j], k)]
+            out[i:j] = seg_sum(same, np.concatenate([[0], np.cumsum(k)]))
+        return out
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Successive ranges of things whose sizes come to about ``most``, or of one thing."""
+    total, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
 
 def best_stretch(same: np.ndarray, share: float) -> tuple[int, int]:
     """Start and end of the stretch with most agreeing words of all stretches in which ``share`` or more agree; of equal ones the shortest.
@@ -135,36 +174,62 @@ def best_stretch(same: np.ndarray, share: float) -> tuple[int, int]:
     return min(int(begin[end]), end), end
 
 
-def overlaps(texts: Texts, index: Index, rule: Overlap) -> list[tuple[int, int, int, int, int, int]]:
-    """Verified overlaps: (document, item, first word, words, agreeing words, first word of the item), the longest for each document and item."""
-    h = tokens_of(texts)
-    doc = np.repeat(np.arange(texts.n), np.diff(texts.word_offsets))
+def overlaps(h: np.ndarray, o: np.ndarray, index: Index, rule: Overlap) -> list[tuple[int, int, int, int, int, int]]:
+    """Verified overlaps of documents given as token hashes and first tokens: (document, item, first word, words, agreeing words, first word of the item), the longest for each document and item."""
     best: dict[tuple[int, int], tuple[int, int, int, int, int, int]] = {}
-    o = texts.word_offsets
-    for d, k, shift in zip(*(x.tolist() for x in index.candidates(h, doc))):
-        item = index.tokens[k]
-        first, last = max(shift, int(o[d])), min(shift + len(item), int(o[d + 1]))
-        same = h[first:last] == item[first - shift : last - shift]
-        least = min(rule.words, rule.share * len(item))
-        if same.sum() < least:
-            continue
+    doc, item, shift = index.candidates(h, np.repeat(np.arange(len(o) - 1), np.diff(o)))
+    fits = index.agreeing(h, o, doc, item, shift) >= index.least[item]
+    for d, k, s in zip(doc[fits].tolist(), item[fits].tolist(), shift[fits].tolist()):
+        words = index.tokens[k]
+        first, last = max(s, int(o[d])), min(s + len(words), int(o[d + 1]))
+        same = h[first:last] == words[first - s : last - s]
         i, j = best_stretch(same, rule.share)
         agree = int(same[i:j].sum())
-        if agree >= least:
-            row = (d, k, first + i - int(o[d]), j - i, agree, first + i - shift)
+        if agree >= index.least[k]:
+            row = (d, k, first + i - int(o[d]), j - i, agree, first + i - s)
             if (d, k) not in best or agree > best[d, k][4]:
                 best[d, k] = row
     return sorted(best.values())
 
 
-def _blocks(benchmark: DataFrame, rule: Overlap, item_id: str, text: str) -> Iterator[Index]:
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+def _indexes(benchmark: DataFrame, rule: Overlap, item_id: str, text: str) -> list:
+    """The blocks' indexes, each as a broadcast of bounded size; items that repeat are one."""
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
     size = rows.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     n = max(1, -(-size // rule.block_tokens))
+    out = []
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else rows
         items = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))  # bounded by block_tokens
-        yield Index(items, rule)
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index(items, rule)))
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch], text: str, shared: list, rule: Overlap) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[int | None], list[tuple]]]]]:
+    """Slices of documents, each with its overlaps by block."""
+
+    def chunk(held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        found: list[list] = [[] for _ in held]
+        for b in shared:
+            index = b.value
+            for got, (_, h, o) in zip(found, held):
+                rows = overlaps(h, o, index, rule)
+                got.append(([index.item_id[r[1]] for r in rows], rows))
+            if len(shared) > 1:  # the next block takes its place; this one stays on disk
+                b.__dict__.pop("_value", None)
+        yield from ((part, got) for (part, _, _), got in zip(held, found))
+
+    held, size = [], 0
+    for part in slices(batches, text):
+        texts = Texts(part.column(text), lower=True)
+        texts.words()
+        held.append((part, tokens_of(texts), texts.word_offsets))
+        size += texts.size
+        if len(shared) == 1 or size >= CHUNK_BYTES:
+            yield from chunk(held)
+            held, size = [], 0
+    if held:
+        yield from chunk(held)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -177,27 +242,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap(
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for index in _blocks(benchmark, rule, item_id, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by block_tokens
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                texts = Texts(part.column(1), lower=True)
-                texts.words()
-                ids = part.column(0).to_pylist()
-                got = overlaps(texts, shared.value, rule)
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {"doc_id": ids[d], "item_id": shared.value.item_id[k], "doc_word": first, "item_word": at, "n_words": n, "n_same": agree, "share": agree / n}
-                        for d, k, first, n, agree, at in got
-                    ],
-                    pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64()), ("n_same", pa.int64()), ("share", pa.float64())]),
-                )
-
-        found = rows.mapInArrow(run, "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_same long, share double")
-        out = found if out is None else out.unionByName(found)
-    return out
+    shared = _indexes(benchmark, rule, item_id, "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64()), ("n_same", pa.int64()), ("share", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _compared(batches, "text", shared, rule):
+            ids = part.column(0).to_pylist()
+            rows = [(ids[d], item, first, at, n, agree, agree / n) for items, got in found for item, (d, _, first, n, agree, at) in zip(items, got)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_same long, share double")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap(), text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -207,17 +261,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: Overlap = Overlap
     judged alike.
     """
     small_batches(docs.sparkSession)
-    out = docs
-    for index in _blocks(benchmark, rule, item_id, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by block_tokens
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches, text):
-                texts = Texts(part.column(text), lower=True)
-                texts.words()
-                keep = np.ones(part.num_rows, bool)
-                keep[[row[0] for row in overlaps(texts, shared.value, rule)]] = False
-                yield part.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    shared = _indexes(benchmark, rule, item_id, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _compared(batches, text, shared, rule):
+            keep = np.ones(part.num_rows, bool)
+            keep[[row[0] for _, got in found for row in got]] = False
+            yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

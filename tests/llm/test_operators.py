@@ -483,9 +483,12 @@ def test_decontamination(spark, docs, empty):
     found = decontam.contaminated(table, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == want
     assert {r["doc_id"] for r in decontam.decontaminate(table, bench).collect()} == {r[0] for r in rows} - {d for d, _ in want}
-    blocks = decontam.contaminated(table, bench, decontam.Overlap(block_tokens=40)).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in blocks} == want
-    assert decontam.contaminated(docs, bench).count() == 0 and decontam.contaminated(empty, bench).count() == 0
+    blocks = decontam.contaminated(table, bench.unionByName(bench), decontam.Overlap(block_tokens=40)).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, found))
+    passage = f"{data.prose(1, 30)} {items[2][1]} {data.prose(2, 30)}"
+    awkward = docs.unionByName(docs.sparkSession.createDataFrame([(i, passage) for i in (None, None, 3, 3)], "doc_id long, text string"), allowMissingColumns=True)
+    assert collections.Counter((r["doc_id"], r["item_id"]) for r in decontam.contaminated(awkward, bench).collect()) == {(None, 2): 2, (3, 2): 2}
+    assert decontam.decontaminate(awkward, bench).count() == docs.count() and decontam.contaminated(empty, bench).count() == 0
     assert decontam.decontaminate(docs, bench.where("false")).count() == docs.count()
 
 
@@ -511,6 +514,19 @@ def test_stretch_is_the_best_of_all(spark):
     assert decontam.best_stretch(np.zeros(5, bool), 0.8) == (0, 0)
 
 
+@pytest.mark.parametrize("hits", [1 << 21, 3])
+def test_many_hits_are_taken_in_parts(monkeypatch, hits):
+    """Items and documents that share a phrase, with hits and diagonals looked at a few at a time."""
+    rule = decontam.Overlap(words=6)
+    phrase = "choose the right answer below now"
+    index = decontam.Index([(i, f"{phrase} {data.prose(i, 12)}") for i in range(20)], rule)
+    t = Texts(pa.array([f"{phrase} {phrase} {data.prose(500 + k, 20)}" for k in range(9)] + [None, "x"]), lower=True)
+    t.words()
+    want = decontam.overlaps(decontam.tokens_of(t), t.word_offsets, index, rule)
+    monkeypatch.setattr(decontam, "HITS", hits)
+    assert decontam.overlaps(decontam.tokens_of(t), t.word_offsets, index, rule) == want and len(want) == 180
+
+
 def test_overlaps_are_the_best_of_all_diagonals(spark):
     """Every column against all stretches of all diagonals that have a seed, with passages moved, substituted, cut and repeated."""
     r = random.Random(19)
