@@ -141,50 +141,51 @@ class Features:
 
 
 class _Batch:
-    """Bags of features as one sparse matrix, with the order in which its entries go by feature."""
+    """Bags of features as one sparse matrix; only the order in which its entries go by feature is kept beside the bags."""
 
     def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
-        size = np.array([len(ids) for ids, _ in bags], np.int64)
-        self.labels = labels
-        self.first = np.cumsum(size) - size
-        self.owner = np.repeat(np.arange(len(bags)), size)
-        self.share = np.concatenate([w for _, w in bags]).astype(np.float32)[:, None]
-        ids = np.concatenate([i for i, _ in bags])
-        self.order = np.argsort(ids, kind="stable")
-        sorted_ids = ids[self.order]
-        self.starts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-        self.features = sorted_ids[self.starts]
-        self.ids = ids
-        self.scale = np.sqrt(size).astype(np.float32)[:, None]
+        self.bags, self.labels = bags, labels
+        self.size = np.array([len(ids) for ids, _ in bags], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.order = np.argsort(np.concatenate([i for i, _ in bags]), kind="stable").astype(np.int32)
+        self.scale = np.sqrt(self.size).astype(np.float32)[:, None]
+
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All entries' features and shares."""
+        return np.concatenate([i for i, _ in self.bags]), np.concatenate([w for _, w in self.bags]).astype(np.float32)[:, None]
 
-    def forward(self, vectors: np.ndarray, layer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _forward(self, ids: np.ndarray, share: np.ndarray, vectors: np.ndarray, layer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Average vectors, and probabilities of the classes."""
-        hidden = np.add.reduceat(self.share * vectors[self.ids], self.first, axis=0)
+        hidden = np.add.reduceat(share * vectors[ids], self.first, axis=0)
         logits = hidden @ layer.T
         p = np.exp(logits - logits.max(1, keepdims=True))
         return hidden, p / p.sum(1, keepdims=True)
 
     def step(self, vectors: np.ndarray, layer: np.ndarray, rate: float) -> None:
         """One step down the gradient of the batch's cross-entropy, in place."""
-        hidden, p = self.forward(vectors, layer)
+        ids, share = self._flat()
+        hidden, p = self._forward(ids, share, vectors, layer)
         p[np.arange(len(p)), self.labels] -= 1
         back = (rate * self.scale) * (p @ layer)
         layer -= rate * (p.T @ hidden)
-        spread = self.share * back[self.owner]
-        vectors[self.features] -= np.add.reduceat(spread[self.order], self.starts, axis=0)
+        sorted_ids = ids[self.order]
+        starts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+        spread = share * np.repeat(back, self.size, axis=0)
+        vectors[sorted_ids[starts]] -= np.add.reduceat(spread[self.order], starts, axis=0)
 
     def loss(self, vectors: np.ndarray, layer: np.ndarray) -> float:
-        p = self.forward(vectors, layer)[1]
+        p = self._forward(*self._flat(), vectors, layer)[1]
         return float(-np.log(np.maximum(p[np.arange(len(p)), self.labels], 1e-12)).sum())
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings = Settings()) -> np.ndarray:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings = Settings(), take: bool = False) -> np.ndarray:
     """Class scores of every bucket: learned vectors times the learned softmax layer.
 
     The gradient of an average over a document's features is spread by their
     shares and scaled up by the square root of their number, so long and short
     documents move their vectors by like amounts.  Training ends early when the
     fold kept for it has not improved for ``patience`` rounds; the best round counts.
+    With ``take`` the list of bags is emptied as soon as batches are made of it.
     """
     random = np.random.default_rng(s.seed)
     vectors = (random.random((1 << s.bucket_bits, s.dim), np.float32) - 0.5) / s.dim
@@ -194,6 +195,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
     used = order[len(kept) :]
     made = lambda at: [_Batch([bags[i] for i in at[k : k + s.batch]], labels[at[k : k + s.batch]]) for k in range(0, len(at), s.batch)]
     batches, judged = made(used), made(kept)
+    if take:
+        bags.clear()
     best, since = (np.inf, vectors @ layer.T), 0
     steps, step = max(1, s.rounds * len(batches)), 0
     for _ in range(s.rounds):
@@ -247,10 +250,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings, doc_id: str
             break
         room -= r["features"]
         fits.append(r["doc_id"])
-    got = made.where(F.col("doc_id").isin(fits)).toArrow().to_pydict() if len(fits) < len(sizes) else made.toArrow().to_pydict()
-    at = sorted(range(len(got["doc_id"])), key=lambda i: got["doc_id"][i])
-    bags = [(np.frombuffer(got["ids"][i], "<i4"), np.frombuffer(got["shares"][i], "<f4")) for i in at]
-    return bags, np.array([got["label"][i] for i in at], np.int64)
+    got = (made if len(fits) == len(sizes) else made.where(F.col("doc_id").isin(fits))).select("doc_id", "label", "ids", "shares").toArrow()
+    view = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in got.column(name)]  # noqa: E731  no copies
+    bags, y = list(zip(view("ids", "<i4"), view("shares", "<f4"))), got.column("label").to_numpy().astype(np.int64)
+    at = np.argsort(got.column("doc_id").to_numpy())
+    return [bags[i] for i in at], y[at]
 
 
 def score_quality(
@@ -274,7 +278,7 @@ def score_quality(
     small_batches(docs.sparkSession)
     fold = lambda c: F.crc32(F.coalesce(c.cast("long").cast("string"), F.lit("")).cast("binary")) % mod == held_out
     bags, y = labelled_sample(docs.where(~fold(F.col(doc_id))), labels.where(~fold(F.col(doc_id))), settings, doc_id, text, label)
-    table = docs.sparkSession.sparkContext.broadcast(train(bags, y, settings))  # of fixed size
+    table = docs.sparkSession.sparkContext.broadcast(train(bags, y, settings, take=True))  # of fixed size
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), fold(F.col(doc_id)).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
