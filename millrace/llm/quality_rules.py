@@ -38,7 +38,7 @@ VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words.split()
 
 #: Character classes by leading byte.
 CLASSES = ["vowel", "consonant", "upper", "digit", "space", "stop", "symbol", "other_ascii", "beyond_ascii"]
-_CLASS = np.full(256, 7, np.int64)
+_CLASS = np.full(256, 7, np.int8)
 _CLASS[ord("a") : ord("z") + 1] = 1
 _CLASS[[ord(c) for c in "aeiou"]] = 0
 _CLASS[ord("A") : ord("Z") + 1] = 2
@@ -46,7 +46,7 @@ _CLASS[ord("0") : ord("9") + 1] = 3
 _CLASS[SPACE] = 4
 _CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = 5
 _CLASS[[ord(c) for c in "#*$%&|<>"]] = 6
-_CLASS[0x80:0xC0] = -1  # continuation bytes are no characters
+_CLASS[0x80:0xC0] = len(CLASSES)  # continuation bytes are no characters
 _CLASS[0xC0:] = 8
 
 
@@ -103,11 +103,10 @@ _TRIM[[ord(c) for c in ".,;:!?'\"()-"]] = True
 
 def histograms(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Counts of character classes and of common words (the last bin: other words) of each document."""
-    kind = _CLASS[texts.bytes]
-    owner = np.repeat(np.arange(texts.n), np.diff(texts.offsets))
-    real = kind >= 0
-    k = len(CLASSES)
-    chars = np.bincount(owner[real] * k + kind[real], minlength=texts.n * k).reshape(texts.n, k)
+    k = len(CLASSES) + 1
+    bins = np.repeat(np.arange(texts.n, dtype=np.int32) * np.int32(k), np.diff(texts.offsets))
+    bins += _CLASS[texts.bytes]
+    chars = np.bincount(bins, minlength=texts.n * k).reshape(texts.n, k)[:, :-1]
     starts, ends = texts.starts.copy(), texts.ends.copy()
     for _ in range(2):
         if len(starts):

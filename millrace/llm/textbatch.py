@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by a Python worker.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 3 << 19
 #: Rows of an Arrow batch sent to a Python worker.
 BATCH_ROWS = 1000
 
