@@ -3,8 +3,8 @@
 An Arrow batch of texts is looked at as one byte buffer with document offsets.
 Words, lines and n-grams are index ranges into that buffer and are hashed to
 64 bits with array operations, eight bytes at a time, so no Python object is
-made per word.  Batches are cut into slices of a few megabytes, which bounds a
-worker's memory by the longest single document rather than by the batch.
+made per word.  Batches have at most a few megabytes and are cut into slices,
+which bounds a worker's memory by the longest single document.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once by a Python worker.
 SLICE_BYTES = 3 << 19
-#: Rows of an Arrow batch sent to a Python worker.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch sent to a Python worker, and its bytes, but for a last row that is longer.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _U = np.uint64
 _M1, _M2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -32,8 +32,9 @@ LOWER[65:91] += 32
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: documents can be long."""
+    """Keep Arrow batches small, in bytes too: documents can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shuffle_width(spark: SparkSession) -> int:
