@@ -76,6 +76,10 @@ class NearDedup:
         return out
 
 
+#: Vowel signs after a consonant and the second of the two vowels that met, and voiced letters before which a visarga became o.
+SANDHI_CONSONANTS = "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह"
+VOWEL_SANDHI = {"े": "इ", "ो": "उ", "ै": "ए", "ौ": "ओ"}
+VISARGA_VOICED = "गघदधबभ"
 TRAIN_RATIO = 0.95
 SEED = 42
 SAMPLE_SENTENCES = 5000

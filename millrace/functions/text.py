@@ -15,8 +15,11 @@ from ..config import (
     FILE_LINKS,
     HEADER_LINES,
     REDIRECT_LINES,
+    SANDHI_CONSONANTS,
     SEGMENT,
     SPACE_MARK,
+    VISARGA_VOICED,
+    VOWEL_SANDHI,
     VOWEL_SIGNS,
     WHITE,
     NearDedup,
@@ -157,6 +160,17 @@ def split_compounds(c: Column) -> Column:
     return F.array_join(F.transform(words(c), split_compound), " ")
 
 
+def undo_sandhi(c: Column) -> Column:
+    """Vowel signs in which two vowels met, and o for a visarga, taken apart by rule; no stage uses it by itself.  Null stays null."""
+    vowels = [(f"([{SANDHI_CONSONANTS}])({sign})", f"$1अ $2{letter}") for sign, letter in VOWEL_SANDHI.items()]
+    return replace_all(c, *vowels, (f"ो([{VISARGA_VOICED}])", "ः $1"))
+
+
+def graphemes(c: Column) -> Column:
+    """Extended grapheme clusters by Java's rules, which part a conjunct after its virama; an empty array for an empty text."""
+    return F.regexp_extract_all(c, F.lit(r"(\X)"), 1)
+
+
 def head_and_tail(c: Column, limit: int) -> Column:
     """A text over ``limit`` characters as its first and last halves of that."""
     half = limit // 2

@@ -15,9 +15,12 @@ from ..config import (
     PURITY_LINES,
     REDIRECT_LINES,
     SAMPLE_SENTENCES,
+    SANDHI_CONSONANTS,
     SEED,
     SEGMENT,
     SPACE_MARK,
+    VISARGA_VOICED,
+    VOWEL_SANDHI,
     VOWEL_SIGNS,
     WHITE,
     NearDedup,
@@ -240,6 +243,16 @@ SELECT doc_id, md5(t) AS remapped_md5, length(t) AS chars FROM r""",
     "tokenizer_comparison": f"WITH {SENTENCES}, {METRICS} SELECT c.lang, round((c.tokens_per_char - a.tokens_per_char) / c.tokens_per_char * 100, 2) AS fewer_tokens_pct FROM m c JOIN m a ON a.lang = c.lang AND c.tokenizer = 'characters' AND a.tokenizer = 'aksharas'",
     "sandhi_split": f"""WITH {DEVA}, w AS (SELECT doc_id, {_words("'महाभारत प्रतिदिन सुख ' || text")} AS ws FROM deva)
 SELECT doc_id, md5(array_to_string(list_transform(ws, lambda w: CASE WHEN length(w) < 4 THEN w ELSE regexp_replace(w, '^({_prefixes})([\\x{{0904}}-\\x{{10FFFF}}](?s:.){{2,}})$', '\\1 \\2') END), ' ')) AS split_md5 FROM w""",
+    "wiki_dump_scan": f"WITH {PLAIN} SELECT page_id::VARCHAR AS title, length(text) AS chars, md5(text) AS text_md5 FROM plain WHERE length(html) > 50 AND length(text) > 50",
+    "plain_text_scan": f"""WITH l AS (SELECT lang, {_strip('line')} AS line FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents))
+SELECT lang, count(*) AS lines, sum(length(line))::BIGINT AS chars, count(DISTINCT line) AS distinct_lines FROM l WHERE line <> '' GROUP BY lang""",
+    "tei_body_texts": f"SELECT doc_id, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT doc_id, {_strip('text')} AS t FROM documents)",
+    "json_results_scan": "SELECT lang, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang",
+    "split_sink": f"WITH {SPLIT} SELECT lang, split, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM split GROUP BY lang, split",
+    "sandhi_rules": f"WITH {DEVA} SELECT doc_id, md5({_sub('text', *[(f'([{SANDHI_CONSONANTS}])({x})', chr(92) + f'1अ {chr(92)}2{y}') for x, y in VOWEL_SANDHI.items()], (f'ो([{VISARGA_VOICED}])', 'ः ' + chr(92) + '1'))}) AS text_md5 FROM deva",
+    "grapheme_clusters": "SELECT doc_id, length_grapheme(t) AS clusters, length(t) AS chars FROM (SELECT doc_id, replace(text, 'e', 'e' || chr(769)) AS t FROM documents)",
+    "token_block_contents": f"""WITH b AS (SELECT doc_id, text, unnest(range(length(text) // {BLOCK})) AS block FROM documents)
+SELECT doc_id, block, md5(array_to_string(list_transform(string_split(substr(text, block * {BLOCK} + 1, {BLOCK}), ''), lambda c: unicode(c)::VARCHAR), ',')) AS ids_md5 FROM b""",
     "token_blocks": f"SELECT doc_id, length(text) // {BLOCK} AS blocks, coalesce(list_sum(list_transform(range(length(text) // {BLOCK}), lambda i: unicode(substr(text, i * {BLOCK} + 1, 1))))::BIGINT, 0) AS first_ids FROM documents",
     "score_windows": f"""SELECT doc_id, len(s) AS windows, coalesce(list_sum(list_transform(s, lambda i: unicode(substr(text, least(i + {CONTEXT_TOKENS}, length(text)), 1))))::BIGINT, 0) AS last_ids
 FROM (SELECT doc_id, text, CASE WHEN length(text) >= 2 THEN range(0, length(text) - 1, {CONTEXT_TOKENS - 1}) ELSE [] END AS s FROM documents)""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CODEC_LEVELS, CONTEXT_TOKENS, HYBRID_CODECS, LATIN, SEED
 from ..functions import text as T
 from ..operators import coding, curate, metrics, ngram, report, sample, segment, tokenizers
+from ..sources import readers
 
 #: Budgets and thresholds that are meaningful on the test tables.
 LONG_LINE, PACK_BUDGET, QUOTA, PREFIX_BUDGET, TAIL_CHARS, BLOCK = 2000, 200_000, 300_000, 150_000, 50_000, 128
@@ -133,6 +134,44 @@ def quota_merge(spark: SparkSession, d: str) -> DataFrame:
     return sample.quota_merge(sized, QUOTA).groupBy("lang", "source").agg(F.count("*").alias("lines"), F.sum("size").alias("bytes"))
 
 
+def wiki_dump_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The articles of a dump that is written from the pages."""
+    path = readers.scratch(spark)
+    readers.write_wiki(_pages(spark, d), path, "page_id", "html")
+    return readers.wiki_articles(spark, path).select("title", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+def plain_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of text files, a folder a language, that are written from the documents."""
+    path = readers.scratch(spark)
+    _docs(spark, d).where("text is not null").select("lang", "text").write.partitionBy("lang").text(path)
+    lines = readers.text_lines(spark, path).withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
+    return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.count_distinct("line").alias("distinct_lines"))
+
+
+def tei_body_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The bodies of TEI editions that hold the documents' texts."""
+    safe = T.replace_all(F.col("text"), ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+    edition = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader>head</teiHeader><text><body><p>'), safe, F.lit("</p></body></text></TEI>"))
+    bodies = readers.tei_bodies(curate.spread(_docs(spark, d), "doc_id").select("doc_id", edition.alias("xml")), "doc_id", "xml")
+    return bodies.select("doc_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+def json_results_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Result records that are read from the second of two candidates, as the first is not there."""
+    path = readers.scratch(spark)
+    readers.write_json(_docs(spark, d).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars")), path)
+    return readers.json_results(spark, [f"{path}-none", path], "lang string, documents long, chars long")
+
+
+def split_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each language and split, read from the table that holds a folder for each."""
+    path = readers.scratch(spark)
+    readers.write_splits(sample.mark_split(_docs(spark, d).select("doc_id", "lang", "text")), path)
+    rows = spark.read.schema("doc_id long, text string, lang string, split string").parquet(path)
+    return rows.groupBy("lang", "split").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
+
+
 def byte_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     sized = _docs(spark, d).select("doc_id", "lang", F.octet_length("text").cast("long").alias("size"))
     return sample.within_budget(sized, ["lang"], ["doc_id"], "size", PREFIX_BUDGET).select("doc_id", "lang")
@@ -260,6 +299,22 @@ def sandhi_split(spark: SparkSession, d: str) -> DataFrame:
     return _deva(spark, d).select("doc_id", F.md5(T.split_compounds(F.concat(F.lit("महाभारत प्रतिदिन सुख "), F.col("text")))).alias("split_md5"))
 
 
+def sandhi_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _deva(spark, d).select("doc_id", F.md5(T.undo_sandhi(F.col("text"))).alias("text_md5"))
+
+
+def grapheme_clusters(spark: SparkSession, d: str) -> DataFrame:
+    marked = F.replace(F.col("text"), F.lit("e"), F.lit("e\u0301"))
+    return _docs(spark, d).select("doc_id", F.size(T.graphemes(marked)).cast("long").alias("clusters"), F.length(marked).cast("long").alias("chars"))
+
+
+def token_block_contents(spark: SparkSession, d: str) -> DataFrame:
+    """All ids of each block."""
+    blocks = segment.token_blocks(segment.code_points(F.col("text")), BLOCK)
+    rows = curate.spread(_docs(spark, d), "doc_id").select("doc_id", F.posexplode(blocks).alias("block", "ids"))
+    return rows.select("doc_id", F.col("block").cast("long"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("ids_md5"))
+
+
 def token_blocks(spark: SparkSession, d: str) -> DataFrame:
     blocks = segment.token_blocks(segment.code_points(F.col("text")), BLOCK)
     first = F.aggregate(blocks, F.lit(0).cast("long"), lambda s, b: s + b[0])
@@ -448,6 +503,6 @@ QUERIES = {
         arith_roundtrip, classical_codecs, hybrid_codecs, language_codecs, codec_metrics, codec_master_table, best_codec, crosslingual_join,
         markdown_report, subtoken_mean_init, corpus_size_report, codec_round_trips, language_codec_inputs, language_benchmark, tokenizer_markdown,
         result_preference, windowed_bpc, context_schedule, holdout_split, near_dedup_stats, complexity_record, tokenizer_sweep, tokenizer_sweep_inputs,
-        tokenizer_improvement, akshara_bpe_roundtrip, sandhi_ablation, novel_merges,
+        wiki_dump_scan, plain_text_scan, tei_body_texts, json_results_scan, split_sink, sandhi_rules, grapheme_clusters, token_block_contents, tokenizer_improvement, akshara_bpe_roundtrip, sandhi_ablation, novel_merges,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
@@ -29,6 +31,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p) and fs.getContentSummary(p).getLength() > 0)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path that is not there yet, in the session's ``spark.checkpoint.dir``, which all machines share; without one in a temporary folder, on a single machine only."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="scratch-")
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a table's folder was written to its end; what a killed job left is not complete."""
     jvm = spark.sparkContext._jvm
@@ -67,6 +79,16 @@ def tei_body(xml: bytes | str) -> str:
     return "\n".join(t.strip() for t in (root if found is None else found).itertext() if t.strip())
 
 
+def tei_bodies(rows: DataFrame, key: str, xml: str) -> DataFrame:
+    """Rows (key, text) of each document's body; a null document has an empty one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({key: f[key], "text": ["" if c is None else tei_body(c) for c in f[xml]]})
+
+    return rows.select(key, xml).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
+
+
 def tei_texts(spark: SparkSession, plain: str | None, xml: str | None, longer_than: int = 100, target: int | None = None) -> DataFrame:
     """Texts of plain and XML editions, plain ones first: (source_ord, path, text), up to ``target`` bytes, so XML ones only if plain ones leave room."""
     parts = []
@@ -74,12 +96,7 @@ def tei_texts(spark: SparkSession, plain: str | None, xml: str | None, longer_th
         rows = spark.read.text(plain, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
         parts.append(rows.select(F.lit(0).alias("source_ord"), "path", T.body_of_edition(F.col("value")).alias("text")))
     if xml:
-
-        def bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield pd.DataFrame({"path": f["path"], "text": [tei_body(c) for c in f["content"]]})
-
-        rows = spark.read.format("binaryFile").load(xml).select("path", "content").mapInPandas(bodies, "path string, text string")
+        rows = tei_bodies(spark.read.format("binaryFile").load(xml).select("path", "content"), "path", "content")
         parts.append(rows.select(F.lit(1).alias("source_ord"), "path", T.body_of_edition(F.col("text")).alias("text")))
     if not parts:
         return spark.createDataFrame([], "source_ord int, path string, text string")
@@ -94,9 +111,16 @@ def text_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame
 
 
 def json_results(spark: SparkSession, candidates: Sequence[str], schema: str) -> DataFrame:
-    """Result records of the first JSON file that is there; none where all are missing, malformed ones as nulls."""
+    """Result records of the first source that is there; none where all are missing, malformed ones as nulls.
+
+    A folder holds JSON lines, as :func:`write_json` writes them; a file one record or an array of them.
+    """
     path = first_source(spark, candidates)
-    return spark.read.schema(schema).json(path, mode="PERMISSIVE", multiLine=True) if path else spark.createDataFrame([], schema)
+    if path is None:
+        return spark.createDataFrame([], schema)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    return spark.read.schema(schema).json(path, mode="PERMISSIVE", multiLine=not folder)
 
 
 def document_stream(spark: SparkSession, path: str, schema: S.StructType | str) -> DataFrame:
@@ -104,6 +128,12 @@ def document_stream(spark: SparkSession, path: str, schema: S.StructType | str)
     return spark.readStream.schema(schema).parquet(path)
 
 
+def write_wiki(pages: DataFrame, path: str, title: str, markup: str) -> None:
+    """Pages as a MediaWiki dump that :func:`wiki_articles` reads."""
+    text = F.struct(F.struct(F.col(markup).alias("_VALUE")).alias("text"))
+    pages.select(F.col(title).cast("string").alias("title"), text.alias("revision")).write.format("xml").options(rootTag="mediawiki", rowTag="page").save(path)
+
+
 def write_splits(rows: DataFrame, path: str) -> None:
     """Rows (lang, split, ...) as Parquet by language and split."""
     rows.write.mode("overwrite").partitionBy("lang", "split").parquet(path)

@@ -49,6 +49,13 @@ def lines(spark, rows):
     return spark.createDataFrame([(1, "hi", "s", i, x) for i, x in enumerate(rows)], "doc_id long, lang string, source string, line_no long, line string")
 
 
+def test_undone_sandhi_and_graphemes(spark):
+    rows = spark.createDataFrame([(1, "गणेश"), (2, "e\u0301a\r\nb"), (3, ""), (4, None)], "k int, t string")
+    got = rows.select(T.undo_sandhi(F.col("t")).alias("u"), T.graphemes(F.col("t")).alias("g")).orderBy("k").collect()
+    assert [x["u"] for x in got] == ["गणअ ेइश", "e\u0301a\r\nb", "", None]
+    assert [x["g"] for x in got[1:]] == [["e\u0301", "a", "\r\n", "b"], [], None]
+
+
 def test_line_rules(spark):
     deva = "क" * 20
     got = [r["status"] for r in curate.classify(lines(spark, ["", "क" * 19, deva, "a" * 20, deva + "a" * 5]), DEVANAGARI).orderBy("line_no").collect()]
@@ -231,6 +238,11 @@ def test_readers(spark, tmp_path):
     assert [r["line"] for r in readers.text_lines(spark, str(tmp_path / "a.txt")).orderBy("line_no").collect()][0] == "## head"
     assert readers.first_source(spark, [str(tmp_path / "none"), str(tmp_path / "a.txt")]).endswith("a.txt") and readers.first_source(spark, []) is None
     assert readers.json_results(spark, [str(tmp_path / "none.json")], "a int").count() == 0
+    readers.write_json(spark.range(7).coalesce(1), str(tmp_path / "lines"))
+    (tmp_path / "array.json").write_text('[{"id": 1},\n {"id": 2}]')
+    assert [readers.json_results(spark, [str(tmp_path / n)], "id long").count() for n in ("lines", "array.json")] == [7, 2]
+    odd = spark.createDataFrame([(1, None), (2, "<TEI><body>a &amp; b</body></TEI>"), (2, "<TEI>")], "k int, xml string")
+    assert sorted(map(tuple, readers.tei_bodies(odd, "k", "xml").collect())) == [(1, ""), (2, ""), (2, "a & b")]
     steps = spark.createDataFrame([("m/step_9",), ("m/step_10",), ("m/final",)], "path string")
     assert readers.latest_checkpoint(spark, steps).first()["step"] == 10
 
