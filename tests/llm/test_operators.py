@@ -460,6 +460,22 @@ def test_components(spark, monkeypatch, few):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_estimates_of_size_do_not_grow_with_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    monkeypatch.setattr(components, "CONTRACT_ROWS", 1)
+    seen, plain = [], components.checkpoint
+
+    def noted(df):
+        seen.append(plain(df))
+        return seen[-1]
+
+    monkeypatch.setattr(components, "checkpoint", noted)
+    path = [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)]
+    got = components.connected_components(spark.createDataFrame(path, "u long, v long").repartition(20)).collect()
+    assert sorted((x["node"], x["component"]) for x in got) == [(i, 0) for i in range(101)]
+    assert len(seen) > 9 and all(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64 for df in seen)
+
+
 def test_decontamination(spark, docs, empty):
     items = [(i, data.prose(900 + i, 30)) for i in range(6)] + [(6, "tiny exact item phrase"), (7, None), (None, "x y z w v"), (8, "a b")]
     bench = spark.createDataFrame([(*x, "c") for x in items], "item_id long, text string, doc_id string")
