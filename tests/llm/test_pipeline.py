@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, oracles
+from millrace.llm import components, decontam, minhash, oracles
 
 from . import data
 
@@ -101,3 +101,16 @@ def test_queries_are_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert ("pipeline" in names) == os.path.exists(os.path.join(os.path.dirname(entry.__file__), "corpus_pipeline.py"))
+
+
+def test_near_dedup_hands_the_planner_no_growing_estimates(spark, tables, pipeline, monkeypatch):
+    seen = []
+    for module in (minhash, components):
+
+        def noted(df, plain=module.checkpoint):
+            seen.append(plain(df))
+            return seen[-1]
+
+        monkeypatch.setattr(module, "checkpoint", noted)
+    pipeline.near_dedup(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)
+    assert seen and all(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64 for df in seen)
