@@ -201,6 +201,16 @@ def test_codecs_stream(docs, empty):
     assert coding.compress_groups(empty, names).count() == 0 and coding.compress_parts(docs, ["gzip"], part_bytes=200).count() == 4
 
 
+def test_each_codec_of_a_language_has_a_task(docs, empty):
+    names = ["gzip", "bzip2", "lzma", "none"]
+    sizes = coding.compress_groups(docs, names)
+    tasks = sizes.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert [x["count"] for x in tasks] == [1] * (4 * len(by_lang()))
+    cols = ["lang", "codec", "original_bytes", "original_chars", "error"]
+    assert sorted(map(str, coding.codec_inputs(docs, names).select(*cols).collect())) == sorted(map(str, sizes.select(*cols).collect()))
+    assert coding.codec_inputs(empty, names).count() == 0
+
+
 def test_streamed_sizes_of_long_texts(spark):
     r = random.Random(6)
     texts = [" ".join(r.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"], k=60_000)) for _ in range(3)]
