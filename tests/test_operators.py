@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import DEVANAGARI, LATIN, NearDedup
 from millrace.functions import text as T
-from millrace.operators import coding, curate, metrics, ngram, ordered, report, sample, segment, vocabulary
+from millrace.operators import coding, curate, lockstep, metrics, ngram, ordered, report, sample, segment, vocabulary
 from millrace.sources import readers
 
 
@@ -207,6 +208,24 @@ PUBLISHED_SIZES = [
 ]
 
 
+def test_lockstep_coder_equals_the_plain_one(monkeypatch):
+    r = random.Random(8)
+    texts = [b"", b"a", b"ab", b"a" * 3000, bytes(range(256)) * 2, r.randbytes(2000), b"\xff" * 700, "é und ü ".encode() * 90]
+    texts += [bytes(r.choices(b"abcdefg h", k=r.randrange(1, 600))) for _ in range(40)]
+    want = [coding.encode_ids(t, coding.byte_bigrams(), 256) for t in texts]
+    broken = [c[:k] + bytes([c[k] ^ 1 << r.randrange(8)]) + c[k + 1 :] for c in want for k in [r.randrange(len(c))]]
+    back = lambda c: bytes(coding.decode_ids(c, coding.byte_bigrams(), 256))
+    few = [back(c[:4] + c[4:]) == t for c, t in zip(want[:20], texts)]
+    for alone in (0, 5, 1000):
+        monkeypatch.setattr(lockstep, "FEW", alone)
+        laid = lockstep.Texts(texts)
+        assert laid.encode() == want and laid.decodes(want).all() and all(few)
+        whole = [i for i, c in enumerate(broken) if c[:4] == want[i][:4]]  # of the right length
+        assert [bool(laid.decodes(broken)[i]) for i in whole] == [back(broken[i]) == texts[i] for i in whole]
+    began = time.perf_counter()
+    lockstep.round_trips([bytes(r.choices(b"abcdefg h", k=2000)) for _ in range(300)])
+    assert time.perf_counter() - began < 20  # the plain coder takes some 40 s for so many bytes
+
 def test_published_arithmetic(spark):
     tests = spark.createDataFrame(PUBLISHED_TESTS, "lang string, original_bytes long, original_chars long")
     measured = report.with_metrics(spark.createDataFrame(PUBLISHED_SIZES, "lang string, codec string, compressed_bytes long").join(tests, "lang")).persist()
