@@ -5,10 +5,14 @@ from __future__ import annotations
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import config
 from millrace.config import LATIN
+from millrace.functions import arrays
+from millrace.functions import text as T
 from millrace.operators import coding, curate, metrics, ngram, ordered, report, sample, segment, tokenizers
 from millrace.plans import catalog, queries
 
@@ -311,3 +315,39 @@ def test_queries_take_awkward_documents(spark, tmp_path_factory, docs, name):
         assert all(len(x["cleaned"]) >= LATIN.min_line for x in got)
     if name in ("train_test_split", "akshara_segments"):
         assert len(got) == len(rows())
+
+
+def test_arrays_equal_columns(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choices("क़षजञ्ािोंःअएगदवे़ ▁#aé😀\n", k=r.randrange(0, 60))) for _ in range(300)] + [None, "", "क", "़", "्"]
+    rows = spark.createDataFrame([(i, [None, "x", "y"][i % 3], t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+    text = F.col("text")
+    vowels = [(f"([{config.SANDHI_CONSONANTS}])({s})", f"$1अ $2{v}") for s, v in config.VOWEL_SANDHI.items()]
+    plain = T.replace_all(text, *vowels, (f"ो([{config.VISARGA_VOICED}])", "ः $1"))
+    assert rows.where(~T.undo_sandhi(text).eqNullSafe(plain)).count() == 0
+    assert rows.where(~T.translate(text, "a#", "खb").eqNullSafe(F.translate(text, "a#", "खb"))).count() == 0
+    segmented = segment.segments(rows, text)
+    both = [sorted(map(str, x.select("lang", "akshara", "n").collect())) for x in (segment.akshara_vocabulary(segmented), segment.vocabulary_of(rows, text))]
+    assert both[0] == both[1]
+    mapping = segment.held(segment.pua_map(segment.vocabulary_of(rows.where("doc_id % 2 = 0"), text)))
+    both = [sorted(map(str, x.select("doc_id", "lang", "remapped").collect())) for x in (segment.remap(segmented, mapping), segment.remap_text(rows, text, mapping))]
+    assert both[0] == both[1]
+    lines = rows.where("text is not null")
+    got = {(x["lang"], x["tokenizer"]): x for x in metrics.syllable_metrics(lines, "text").collect()}
+    for name, pieces in (("characters", F.filter(F.split("text", ""), lambda c: c != "")), ("aksharas", T.aksharas(text))):
+        for x in metrics.tokenizer_metrics(lines, pieces, text).collect():
+            assert x.asDict() | {"tokenizer": name} == got[x["lang"], name].asDict()
+
+
+def test_syllables_are_counted_in_arrays(spark):
+    """Plans keep no row for each syllable."""
+    docs = spark.createDataFrame([(1, "x", "कखग")], "doc_id long, lang string, text string")
+    plan = segment.vocabulary_of(docs, F.col("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_slices_of_arrays(monkeypatch):
+    monkeypatch.setattr(arrays, "SLICE", 10)
+    texts = pa.array(["aaaa", None, "bbbbbbbbbbbbbbbbbbbb", "", "cc", "कख"])
+    assert list(arrays.slices(texts, 10)) == [(0, 2), (2, 3), (3, 6)] and list(arrays.slices(pa.array([], pa.string()))) == []
+    assert arrays.in_slices(lambda x: x, texts).to_pylist() == texts.to_pylist() and arrays.undo_sandhi(texts.slice(3)).to_pylist() == ["", "cc", "कख"]
