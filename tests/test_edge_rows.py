@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import multiprocessing
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -351,3 +353,39 @@ def test_slices_of_arrays(monkeypatch):
     texts = pa.array(["aaaa", None, "bbbbbbbbbbbbbbbbbbbb", "", "cc", "कख"])
     assert list(arrays.slices(texts, 10)) == [(0, 2), (2, 3), (3, 6)] and list(arrays.slices(pa.array([], pa.string()))) == []
     assert arrays.in_slices(lambda x: x, texts).to_pylist() == texts.to_pylist() and arrays.undo_sandhi(texts.slice(3)).to_pylist() == ["", "cc", "कख"]
+
+
+def test_words_and_tokens_are_counted_in_arrays(spark):
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choices("कखगिाो्ab1", k=r.randrange(1, 9))) for _ in range(r.randrange(0, 30))) for _ in range(200)] + [None, "", " \t\n", "\u3000क\u00a0\x85ख\u200bग😀 "]
+    rows = spark.createDataFrame([(i, [None, "x", "y"][i % 3], t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+    text = F.col("text")
+    plain = rows.select("lang", F.explode(T.words(text)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = segment.word_frequencies(rows, text)
+    assert sorted(map(str, words.collect())) == sorted(map(str, plain.select(*words.columns).collect()))
+    training = tokenizers.Training(vocab_size=320)
+    mapping = segment.held(tokenizers.corpus_mapping(rows, text))
+    for models, how in ((tokenizers.train(words, "t", training), None), (tokenizers.train_akshara(words.where("lang = 'x'"), mapping, training), mapping)):
+        coded = tokenizers.encoded(rows, "text", models, how).persist()
+        got = tokenizers.coded_metrics(rows, "text", models, how)
+        want = tokenizers.measured(coded)
+        assert got.count() in (1, 3) and sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+        want = coded.groupBy("lang").agg(F.count("*").alias("sentences"), F.count_if("roundtrip_ok").alias("round_trips"))
+        assert sorted(map(str, tokenizers.round_trips(rows, "text", models, how).collect())) == sorted(map(str, want.collect()))
+
+
+def test_unigram_trainers_take_turns(tmp_path):
+    def work(k):
+        with tokenizers.one_at_a_time():
+            began = time.time()
+            time.sleep(0.3)
+            (tmp_path / str(k)).write_text(f"{began} {time.time()}")
+
+    context = multiprocessing.get_context("fork")
+    all_ = [context.Process(target=work, args=(k,)) for k in range(3)]
+    for p in all_:
+        p.start()
+    for p in all_:
+        p.join(30)
+    times = sorted(tuple(map(float, f.read_text().split())) for f in tmp_path.iterdir())
+    assert len(times) == 3 and all(a[1] <= b[0] for a, b in zip(times, times[1:]))
