@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import config
-from millrace.config import LATIN
+from millrace.config import LATIN, NearDedup
 from millrace.functions import arrays
 from millrace.functions import text as T
 from millrace.operators import coding, curate, metrics, ngram, ordered, report, sample, segment, tokenizers
@@ -389,3 +389,18 @@ def test_unigram_trainers_take_turns(tmp_path):
         p.join(30)
     times = sorted(tuple(map(float, f.read_text().split())) for f in tmp_path.iterdir())
     assert len(times) == 3 and all(a[1] <= b[0] for a, b in zip(times, times[1:]))
+
+
+def test_signatures_and_bands_in_arrays(spark, monkeypatch):
+    r = random.Random(13)
+    base = ["".join(r.choices("abcdé 😀", k=r.randrange(3, 90))) for _ in range(40)]
+    texts = [t[: r.randrange(1, 99)] + r.choice(["", "x", "yz"]) for t in base for _ in range(12)]
+    rows = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    spec = NearDedup(min_chars=2, max_chars=60)
+    plain = rows.where("doc_id is not null and length(text) >= 2").select("doc_id", T.minhash_signature(F.col("text"), spec).alias("signature"))
+    signed = curate.signatures(rows, spec=spec).persist()
+    assert sorted(map(str, signed.where("doc_id is not null").collect())) == sorted(map(str, plain.collect()))
+    found = lambda: sorted(map(str, curate.beaten_classes(signed, spec=spec).collect()))
+    once = found()
+    monkeypatch.setattr(curate, "FEW", 0)
+    assert once == found() and len(once) > 5
