@@ -404,3 +404,19 @@ def test_signatures_and_bands_in_arrays(spark, monkeypatch):
     once = found()
     monkeypatch.setattr(curate, "FEW", 0)
     assert once == found() and len(once) > 5
+
+
+def test_lines_are_cleaned_once_and_stripped_alike(spark, docs):
+    plan = curate.clean_stats(docs.select("doc_id", "lang", "source", "text"), LATIN)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1
+    r = random.Random(14)
+    lines = ["".join(r.choices(" \t 　ab@.&;!?:éक", k=r.randrange(0, 14))) for _ in range(400)] + ["see http://x.y/z now", "a@b.c &amp; &#12; x", "", None]
+    rows = spark.createDataFrame([(t,) for t in lines], "t string")
+    white = config.WHITE
+    strip = lambda c: F.regexp_replace(c, F.lit(f"^[{white}]+|[{white}]+$"), F.lit(""))
+    c = T.replace_all(F.col("t"), (r"https?://[^" + white + "]+", ""))
+    kept = F.array_join(F.transform(F.split(c, " "), lambda w: F.when(F.contains(w, F.lit("@")) & F.contains(w, F.lit(".")), "").otherwise(w)), " ")
+    c = F.when(F.contains(c, F.lit("@")), kept).otherwise(c)
+    plain = strip(T.replace_all(c, (r"&[a-zA-Z]+;", " "), (r"&#\p{Nd}+;", " "), (r"[।,.!?;:]{3,}", "।"), (r"[ \t]+", " ")))
+    assert rows.where(~T.strip_boilerplate(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert rows.where(~T.strip(F.col("t")).eqNullSafe(strip(F.col("t")))).count() == 0
